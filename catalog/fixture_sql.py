@@ -129,13 +129,15 @@ VIEWS: dict[str, str] = {
         SELECT doc, unnest(w) AS term FROM fit_words
         UNION ALL
         SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM fit_words""",
-    "vocabulary": """
-        SELECT term, ROW_NUMBER() OVER (ORDER BY term) - 1 AS idx, tf, df,
-               LN((1.0 + n)::DOUBLE / (1.0 + df)::DOUBLE) + 1.0 AS idf
+    "kept_terms": """
+        SELECT term, tf, df, n
         FROM (SELECT term, COUNT(*) AS tf, COUNT(DISTINCT doc) AS df, (SELECT COUNT(*) FROM fit_texts) AS n
               FROM fit_terms GROUP BY term)
         WHERE df >= 2 AND df <= CAST(0.95 AS DOUBLE) * n
         ORDER BY tf DESC, term LIMIT 10000""",
+    "vocabulary": """
+        SELECT term, ROW_NUMBER() OVER (ORDER BY term) - 1 AS idx, tf, df,
+               LN(CAST(1 + n AS DOUBLE) / CAST(1 + df AS DOUBLE)) + 1.0 AS idf FROM kept_terms""",
     "text_words": """
         SELECT book_id, regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]{2,}') AS w FROM last_texts""",
     "text_terms": """

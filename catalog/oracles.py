@@ -278,8 +278,7 @@ _SQL: dict[str, str] = {
         JOIN {_INDEX.format("publisher")} p ON COALESCE(r.publisher, '-1') = p.v""",
     "mean_baseline": "SELECT user_id, book_id, ROUND(rating_predict, 6) AS rating_predict FROM mean_submission",
     "clip_predictions": """
-        SELECT user_id, ROUND(raw, 6) AS raw,
-               ROUND(CASE WHEN raw < 0 THEN 0 WHEN raw > 10 THEN 10 ELSE raw END, 6) AS rating_predict
+        SELECT user_id, raw, CASE WHEN raw < 0 THEN 0 WHEN raw > 10 THEN 10 ELSE raw END AS rating_predict
         FROM (SELECT c_custkey AS user_id,
                      CASE WHEN c_nationkey % 7 = 3 THEN NULL ELSE c_acctbal / CAST(800 AS DOUBLE) END AS raw
               FROM customer)""",

@@ -396,7 +396,7 @@ def clip_predictions(x: Fixtures) -> DataFrame:
     """Values around and outside the rating range, some missing."""
     raw = F.when(F.col("c_nationkey") % 7 != 3, F.col("c_acctbal") / F.lit(800.0))
     values = x.read("customer").select(F.col("c_custkey").alias(N.USER), raw.alias("raw"))
-    return rounded(values.withColumn(N.PREDICTION, clip_rating(F.col("raw"))))
+    return values.withColumn(N.PREDICTION, clip_rating(F.col("raw")))
 
 
 @query

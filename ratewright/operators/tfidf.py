@@ -41,7 +41,7 @@ def fit_vocabulary(
         .limit(max_features)
     )
     # At most `max_features` rows are left, so ranking them in one task is bounded.
-    rank = F.row_number().over(Window.orderBy("term")) - 1
+    rank = F.row_number().over(Window.orderBy("term")).cast("bigint") - 1
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     return kept.select("term", rank.alias("idx"), "tf", "df", idf.alias("idf"))
 

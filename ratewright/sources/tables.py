@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import names as N
 from ..functions import nan_to_null
@@ -11,7 +12,7 @@ from ..schemas import QUOTED_TEXT, TABLES
 
 
 def scan(spark: SparkSession, table: str, path: str, sep: str = ",", row_order: bool | None = None) -> DataFrame:
-    """Scan one table with its explicit schema.
+    """Scan one table with its explicit types; columns are found by the names in the header, in any order.
 
     `row_order` adds the place of each row in its file (file, block, row), which keep-first and last-wins rules need;
     by default it is added to the tables where those rules apply. Line breaks inside quotes are accepted only for tables
@@ -19,9 +20,16 @@ def scan(spark: SparkSession, table: str, path: str, sep: str = ",", row_order:
     """
     schema = TABLES[table]
     quoted = table in QUOTED_TEXT
+    # Without a schema and without inference Spark reads the header line only.
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
+    absent = [c for c in schema.names if c not in header]
+    if absent:
+        raise ValueError(f"{path} lacks columns {absent}; present are {header}")
+    in_file = T.StructType([schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header])
     reader = (
-        spark.read.schema(schema)
+        spark.read.schema(in_file)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
