@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratewright import names as N
 from ratewright.operators import formation
+from ratewright.session import widen
 
 BOUNDARY = datetime(2000, 12, 31)
 
@@ -124,7 +125,7 @@ class Fixtures:
 
     @cached_property
     def descriptions(self) -> DataFrame:
-        docs, key = self.read("documents"), F.col("doc_id")
+        docs, key = widen(self.read("documents")), F.col("doc_id")
         first = docs.select(
             key.alias(N.BOOK), F.when(key % 29 != 0, F.col("text")).alias(N.DESCRIPTION), F.lit(0).alias(N.ROW_ORDER)
         )

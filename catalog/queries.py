@@ -25,7 +25,7 @@ from ratewright.operators import (
 )
 
 from ratewright.operators.skew import find_heavy, salted_join
-from ratewright.session import stored
+from ratewright.session import stored, widen
 
 from . import workflows
 from .fixtures import BOUNDARY, Fixtures
@@ -250,7 +250,7 @@ def leakfree_aggregates(x: Fixtures) -> DataFrame:
 
 @query
 def tokenize(x: Fixtures) -> DataFrame:
-    docs = x.read("documents").select("doc_id", tokens(F.col("text")).alias("w"))
+    docs = widen(x.read("documents")).select("doc_id", tokens(F.col("text")).alias("w"))
     return docs.select(
         "doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5")
     )
@@ -258,7 +258,7 @@ def tokenize(x: Fixtures) -> DataFrame:
 
 @query
 def ngrams(x: Fixtures) -> DataFrame:
-    docs = x.read("documents").select("doc_id", terms(tokens(F.col("text"))).alias("t"))
+    docs = widen(x.read("documents")).select("doc_id", terms(tokens(F.col("text"))).alias("t"))
     return docs.select(
         "doc_id", F.size("t").cast("bigint").alias("n_terms"), F.md5(F.array_join("t", "|")).alias("terms_md5")
     )

@@ -34,6 +34,13 @@ def hashing_encoder(dim: int = 2, digest: str = "md5") -> Callable[[], Callable]
 
         import numpy as np
 
+        vectors = {}
+
+        def vector(word):
+            if word not in vectors:
+                vectors[word] = list(hashlib.new(digest, word.encode()).digest()[:dim])
+            return vectors[word]
+
         def encode(texts):
             words = [re.findall(r"\w{2,}", t.lower()) for t in texts]
             width = max(1, *(len(w) for w in words))
@@ -42,7 +49,7 @@ def hashing_encoder(dim: int = 2, digest: str = "md5") -> Callable[[], Callable]
             for i, row in enumerate(words):
                 mask[i, : len(row)] = 1
                 for j, word in enumerate(row):
-                    hidden[i, j] = list(hashlib.new(digest, word.encode()).digest()[:dim])
+                    hidden[i, j] = vector(word)
             return hidden, mask
 
         return encode
@@ -128,7 +135,7 @@ def features_parquet_roundtrip(x: Fixtures) -> DataFrame:
 
 
 SMALL_BOOSTING = boosting.BoostingSettings(
-    max_rounds=12, patience=3, first_rounds=6, step_size=0.1, max_depth=4, extra={"maxMemoryInMB": 512}
+    max_rounds=8, patience=2, first_rounds=4, step_size=0.1, max_depth=4, extra={"maxMemoryInMB": 512}
 )
 
 

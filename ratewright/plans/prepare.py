@@ -12,7 +12,7 @@ from .. import names as N
 from ..functions import zero_vector
 from ..operators import aggregates, embeddings, lookups, merge, missing, tfidf
 from ..operators.skew import find_heavy
-from ..session import stored
+from ..session import stored, widen
 from ..sources import append_embeddings, load_table, read_embeddings, save_table, versioned, write_features
 
 
@@ -89,6 +89,7 @@ def prepare(spark: SparkSession, tables: dict[str, DataFrame], folder: str, text
     once: the fill values need a pass over them before the filled rows can be made, and reading two columns back is
     cheaper than joining twice.
     """
+    descriptions = widen(tables["book_descriptions"])
     log = merge.union_sources(merge.keep_rated(tables["train"]), tables["test"])
     heavy = find_heavy(log, N.PAIR)
     merged = merge.attach_books(merge.attach_users(log, tables["users"], heavy), tables["books"], heavy=heavy)
@@ -96,9 +97,9 @@ def prepare(spark: SparkSession, tables: dict[str, DataFrame], folder: str, text
     train = rows.filter(F.col(N.SOURCE) == N.TRAIN)
 
     filled = missing.fill_missing(rows, train)
-    vocabulary = fitted_vocabulary(spark, tables["book_descriptions"], train, text)
-    cache = cached_embeddings(spark, tables["book_descriptions"], text)
-    vectors = book_vectors(rows, tables["book_descriptions"], vocabulary, cache, text)
+    vocabulary = fitted_vocabulary(spark, descriptions, train, text)
+    cache = cached_embeddings(spark, descriptions, text)
+    vectors = book_vectors(rows, descriptions, vocabulary, cache, text)
     write_features(filled, vectors, folder)
 
     counts = {r.source: r.n for r in rows.groupBy(N.SOURCE).agg(F.count("*").alias("n")).collect()}
