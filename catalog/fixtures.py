@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright import names as N
+from ratewright.functions import time_literal
 from ratewright.operators import formation
 from ratewright.session import widen
 
@@ -43,11 +44,11 @@ class Fixtures:
 
     @staticmethod
     def in_train() -> Column:
-        return (F.col(N.TIMESTAMP) <= F.lit(BOUNDARY).cast("timestamp_ntz")) & (F.col(N.BOOK) % 41 != 7)
+        return (F.col(N.TIMESTAMP) <= time_literal(BOUNDARY)) & (F.col(N.BOOK) % 41 != 7)
 
     @staticmethod
     def in_test() -> Column:
-        return F.col(N.TIMESTAMP) > F.lit(BOUNDARY).cast("timestamp_ntz")
+        return F.col(N.TIMESTAMP) > time_literal(BOUNDARY)
 
     @cached_property
     def train(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """Column expressions."""
 
 from .arrays import masked_mean, zero_vector
-from .scalars import clip_rating, in_rating_range, malformed_number, nan_to_null, parse_time, strict_double
+from .scalars import clip_rating, in_rating_range, malformed_number, nan_to_null, parse_time, strict_double, time_literal
 from .text import terms, tokens
 
 __all__ = [
@@ -13,6 +13,7 @@ __all__ = [
     "parse_time",
     "strict_double",
     "terms",
+    "time_literal",
     "tokens",
     "zero_vector",
 ]

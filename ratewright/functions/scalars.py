@@ -1,5 +1,7 @@
 """Scalar expressions on ratings, numbers held as text, and times."""
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def malformed_number(value: Column) -> Column:
     return value.isNotNull() & value.try_cast("double").isNull()
 
 
+def time_literal(value: datetime) -> Column:
+    """A time without zone, exact under any session or machine time zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def parse_time(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Text to a time without zone; malformed text becomes missing."""
     return F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..functions import time_literal
 from .skew import HeavyKeys, salted_join
 
 
@@ -21,7 +22,7 @@ def is_planned() -> Column:
 
 def time_chunks(log: DataFrame, boundary: datetime) -> tuple[DataFrame, DataFrame]:
     """Two consecutive chunks; the boundary itself belongs to the first."""
-    cut = F.lit(boundary).cast("timestamp_ntz")
+    cut = time_literal(boundary)
     return log.filter(F.col(N.TIMESTAMP) <= cut), log.filter(F.col(N.TIMESTAMP) > cut)
 
 

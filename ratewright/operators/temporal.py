@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..functions import parse_time
+from ..functions import parse_time, time_literal
 from .keys import require_columns
 
 
@@ -71,7 +71,7 @@ def temporal_parts(
 
 
 def _as_time_column(date: datetime | Column) -> Column:
-    return date if isinstance(date, Column) else F.lit(date).cast("timestamp_ntz")
+    return date if isinstance(date, Column) else time_literal(date)
 
 
 def split_bounds(df: DataFrame, date: datetime | Column, column: str = N.TIMESTAMP) -> DataFrame:
