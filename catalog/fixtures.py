@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ratewright import names as N
 from ratewright.functions import time_literal
 from ratewright.operators import formation
-from ratewright.session import widen
+from ratewright.session import stored, widen
 
 BOUNDARY = datetime(2000, 12, 31)
 
@@ -59,10 +59,15 @@ class Fixtures:
         return self.train.filter(formation.is_read())
 
     @cached_property
-    def solution(self) -> DataFrame:
+    def formed_solution(self) -> DataFrame:
         stage = F.when(F.col(N.USER) % 2 == 0, N.PUBLIC).otherwise(N.PRIVATE)
         return formation.form_solution(self.log, self.in_train(), self.in_test(), stage)
 
+    @cached_property
+    def solution(self) -> DataFrame:
+        """The solution as the stored table that it is for its users: forming it anew for every use scans the log."""
+        return stored(self.formed_solution, "solution")
+
     @cached_property
     def test(self) -> DataFrame:
         return self.solution.select(*N.PAIR)

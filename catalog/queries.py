@@ -90,7 +90,7 @@ def keep_warm_users(x: Fixtures) -> DataFrame:
 
 @query
 def test_formation(x: Fixtures) -> DataFrame:
-    return x.solution
+    return x.formed_solution
 
 
 @query
