@@ -2,7 +2,7 @@
 
 from .evaluate import evaluate, upload_check
 from .predict import predict
-from .prepare import Prepared, prepare
+from .prepare import Prepared, TextSettings, prepare
 from .train import TrainingReport, train
 
-__all__ = ["Prepared", "TrainingReport", "evaluate", "predict", "prepare", "train", "upload_check"]
+__all__ = ["Prepared", "TextSettings", "TrainingReport", "evaluate", "predict", "prepare", "train", "upload_check"]
