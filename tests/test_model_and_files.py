@@ -1,3 +1,5 @@
+from importlib import import_module
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -156,3 +158,27 @@ def test_few_files_are_spread_over_the_cores(spark):
     one_file = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert widen(one_file).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert widen(widen(one_file).select("doc_id")).count() == one_file.count()
+
+
+def test_artefacts_are_reused_within_a_version_and_only_new_books_encoded(spark):
+    build = import_module("ratewright.plans.prepare")
+    docs = spark.createDataFrame(
+        [(i, f"word{i % 2} common text", 0) for i in range(6)], "book_id INT, description STRING, row_order INT"
+    )
+    base = fresh_path(spark, "artefacts")
+
+    def settings(version):
+        return build.TextSettings(version, base, embedding_dim=4, make_encoder=workflows.hashing_encoder(4), min_df=1, max_df=1.0)
+
+    few, one = docs.filter("book_id < 2"), settings("1")
+    assert build.cached_embeddings(spark, few, one).count() == 2
+    before = {r.book_id: r.embedding for r in build.cached_embeddings(spark, few, one).collect()}
+    after = build.cached_embeddings(spark, docs, one).collect()
+    assert sorted(r.book_id for r in after) == list(range(6))
+    assert {r.book_id: r.embedding for r in after if r.book_id < 2} == before
+
+    train_rows = docs.select("book_id")
+    first = build.fitted_vocabulary(spark, few.filter("book_id = 0"), train_rows, one).collect()
+    assert {r.term for r in first} == {"word0", "common", "text", "word0 common", "common text"}
+    assert sorted(build.fitted_vocabulary(spark, docs, train_rows, one).collect()) == sorted(first)
+    assert build.fitted_vocabulary(spark, docs, train_rows, settings("2")).count() == 7
