@@ -20,7 +20,7 @@ SQL = {
                    coalesce(b.marks, []) AS marks
             FROM documents d LEFT JOIN boilerplate b ON d.source IS NOT DISTINCT FROM b.source
         ), kept AS (
-            SELECT *, list_filter(lines, x -> NOT list_contains(marks, x)) AS left_over FROM split
+            SELECT *, list_filter(lines, lambda x: NOT list_contains(marks, x)) AS left_over FROM split
         )
         SELECT doc_id, source,
                CASE WHEN lines IS NULL THEN NULL ELSE coalesce(array_to_string(left_over, chr(10)), '') END AS text,

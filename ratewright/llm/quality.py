@@ -3,7 +3,7 @@
 `rule_stats` takes words, symbols, repeated lines and repeated five-word windows of a whole text. The base rules reject
 very short and very repetitive texts. Beyond them isolation forests, one per group of rules, judge the shares that these
 numbers form: trees split at random, and a text that random splits isolate after few steps is an anomaly. Trees are grown
-on labelled rows, at most `FIT_ROWS` of them (those with the smallest hash of their id), and the score above which a
+on labelled rows, about `FIT_ROWS` of them at most (chosen by the hash of their id), and the score above which a
 forest rejects comes from the scores of *all* labelled rows: the largest gain of caught low-quality rows over lost good
 ones, with at most `MAX_LOSS` of the good ones lost. A group whose anomalies are not of low quality rejects nothing.
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..session import stored
 
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 MAX_LOSS = 0.001
 MIN_GAIN = 0.05
 MIN_WORDS = 10
@@ -194,8 +194,9 @@ def judge(
     by_id = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(label).alias("good"))
     known = rated.select(F.col(key).alias("id"), F.col(stats).alias("stats")).filter(~base_failed("stats"))
     labelled = stored(known.join(by_id, "id"), "labelled")
-    chosen = labelled.orderBy(F.xxhash64("id"), "id", "stats").limit(fit_rows)
-    sample = chosen.select("stats.*").toPandas()
+    share = min(1.0, fit_rows / max(1, labelled.count()))
+    chosen = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(2**30)) < int(share * 2**30))
+    sample = chosen.select("stats.*").sort(*STAT_NAMES).toPandas()
     if len(sample) < 2:
         return rated.withColumn(verdict, ~base_failed(stats))
     forests = [grow_forest(points) for points in views(sample)]
