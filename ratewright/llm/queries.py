@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import chat, line_dedup, mixing, packing, quality, simhash, token_counts, toxicity
+from . import bm25, chat, line_dedup, mixing, packing, quality, simhash, token_counts, token_output, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,19 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@query
+def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_output.pack_ids(docs, BYTE_BPE, BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op2_top_k_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100, taken as a query."""
+    docs = table(spark, folder, "documents")
+    return bm25.search(docs, docs.filter(F.col("doc_id") % 100 == 0))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
