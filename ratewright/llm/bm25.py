@@ -31,7 +31,7 @@ from ..session import stored
 K1, B = 1.2, 0.75
 TOP_K = 10
 BLOCK_DOCS = 64
-SHARD_DOCS = 16_384
+SHARD_DOCS = 8_192
 
 BAG = T.StructType(
     [
@@ -53,14 +53,11 @@ def bag_of_terms(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["terms", "tfs", "length"])
 
 
-def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
-    return np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-
-
 class Shard:
-    """The inverted index of one shard: impacts by term, and block maxima by term."""
+    """The inverted index of one shard: impacts by term, and block maxima by term. The inverse document frequency is the
+    query's part, as it is the same for all documents."""
 
-    def __init__(self, docs: pd.DataFrame, n_docs: int, mean_length: float):
+    def __init__(self, docs: pd.DataFrame, mean_length: float):
         docs = docs.sort_values("id", kind="stable")
         self.ids = docs["id"].to_numpy(np.int64)
         sizes = np.array([len(t) for t in docs["terms"]], np.int64)
@@ -68,9 +65,8 @@ class Shard:
         none = np.zeros(0, np.int64)
         terms = np.concatenate([none, *docs["terms"]]).astype(np.int64)
         tf = np.concatenate([none, *docs["tfs"]]).astype(np.float32)
-        df = np.concatenate([none, *docs["dfs"]]).astype(np.float64)
         norm = K1 * (1 - B + B * docs["length"].to_numpy(float) / max(mean_length, 1e-9))
-        impact = idf(df, n_docs) * tf * (K1 + 1) / (tf + norm[owner])
+        impact = tf * (K1 + 1) / (tf + norm[owner])
         order = np.lexsort((owner, terms))
         self.owner, self.impact = owner[order].astype(np.int32), impact[order]
         terms = terms[order]
@@ -85,11 +81,13 @@ class Shard:
         self.block_after = np.searchsorted(new, self.after)
         self.n_blocks = -(-len(docs) // BLOCK_DOCS)
 
-    def search(self, terms: np.ndarray, tfs: np.ndarray, k: int) -> list[tuple[float, int]]:
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The best k as (score, id)."""
         at = np.searchsorted(self.terms, terms)
-        found = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
-        at, weights = at[found], tfs[found].astype(float)
+        if not len(self.terms):
+            return []
+        found = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
+        at, weights = at[found], weights[found]
         if not len(at):
             return []
         bound = np.zeros(self.n_blocks)
@@ -135,42 +133,36 @@ def search(
 ) -> DataFrame:
     """Per query and rank (from 1): query_id, rank, id, score. `queries` has the same two columns as `docs`; ids are whole
     numbers."""
-    bags = stored(
-        docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("place"), bag_of_terms(text).alias("bag")).select(
-            "id", "place", "bag.*"
-        ),
-        "bags",
-    )
-    stats = bags.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n_docs, mean_length = stats.n, float(stats.mean or 0)
+    bags = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("place"), bag_of_terms(text).alias("bag"))
+    counted = bags.select(F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")).select("p.*")
+    terms = stored(counted.groupBy("terms").agg(F.count("*").alias("df"), F.sum("tfs").alias("n")), "terms")
+    n_docs = docs.count()
+    mean_length = (terms.agg(F.sum("n")).first()[0] or 0) / max(1, n_docs)
     n_shards = max(1, -(-n_docs // shard_docs))
 
     asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), bag_of_terms(text).alias("bag"))
-    asked = stored(asked.select("id", "bag.terms", "bag.tfs"), "queries")
-    # Only terms of queries need statistics; postings of other terms never score and are dropped before they travel.
-    wanted = asked.select(F.explode("terms").alias("term")).distinct()
-    pairs = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
-    postings = bags.filter(F.col("id").isNotNull()).select("id", "place", "length", pairs).select("id", "place", "length", "p.*")
-    postings = postings.withColumnRenamed("terms", "term").withColumnRenamed("tfs", "tf")
-    all_pairs = bags.select(F.explode("terms").alias("term"))
-    frequency = stored(
-        all_pairs.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi"), "frequencies"
+    pairs = asked.select(
+        "id", F.monotonically_increasing_id().alias("row"), F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")
     )
-    held = postings.join(frequency, "term")
-    shard = F.pmod(F.col("place"), F.lit(n_shards)).cast("int")
-    lists = (
-        held.groupBy(shard.alias("shard"), "id", "place", "length")
-        .agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df"))).alias("list"))
-        .select("shard", "id", "length", F.col("list.term").alias("terms"), F.col("list.tf").alias("tfs"), F.col("list.df").alias("dfs"))
+    weight = F.col("tfs") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = stored(pairs.select("id", "row", "p.*"), "query-terms").join(terms, "terms")
+    asked = stored(
+        weighed.groupBy("id", "row")
+        .agg(F.sort_array(F.collect_list(F.struct("terms", weight.alias("weight")))).alias("list"))
+        .select("id", F.col("list.terms").alias("terms"), F.col("list.weight").alias("weights")),
+        "queries",
     )
+    shard = F.pmod(F.col("place"), F.lit(n_shards)).cast("int")
+    lists = bags.filter(F.col("id").isNotNull()).select(shard.alias("shard"), "id", "bag.*")
     everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
 
     def run(_: tuple, own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        index = Shard(own, n_docs, mean_length)
+        index = Shard(own, mean_length)
         rows = []
-        for q, terms, tfs in zip(questions["id"], questions["terms"], questions["tfs"], strict=True):
-            rows += [(q, hit, score) for score, hit in index.search(np.asarray(terms), np.asarray(tfs), k)]
-        return pd.DataFrame(rows, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+        for q, bag, weights in zip(questions["id"], questions["terms"], questions["weights"], strict=True):
+            rows += [(q, hit, score) for score, hit in index.search(np.asarray(bag), np.asarray(weights), k)]
+        kinds = {"query_id": "int64", "id": "int64", "score": "float64"}
+        return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
     found = lists.groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInPandas(
         run, "query_id bigint, id bigint, score double"
