@@ -141,11 +141,10 @@ def search(
     n_shards = max(1, -(-n_docs // shard_docs))
 
     asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), bag_of_terms(text).alias("bag"))
-    pairs = asked.select(
-        "id", F.monotonically_increasing_id().alias("row"), F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")
-    )
+    numbered = stored(asked.select("id", F.monotonically_increasing_id().alias("row"), "bag"), "query-bags")
+    pairs = numbered.select("id", "row", F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")).select("id", "row", "p.*")
     weight = F.col("tfs") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = stored(pairs.select("id", "row", "p.*"), "query-terms").join(terms, "terms")
+    weighed = pairs.join(terms, "terms")
     asked = stored(
         weighed.groupBy("id", "row")
         .agg(F.sort_array(F.collect_list(F.struct("terms", weight.alias("weight")))).alias("list"))

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .workers import Memo
 
-FIT_TOXIC = 1_200
-FIT_ORDINARY = 1_500
+FIT_TOXIC = 800
+FIT_ORDINARY = 700
 PARTS = 4
-ORDER = 9
+ORDER = 8
 TOP = 3
 EASE = 5
 FEATURES = ("peak", "top", "mean", "words")
@@ -66,14 +66,18 @@ class SharedBackoff:
     """Kneser-Ney probabilities of a letter after a shorter context, over both classes."""
 
     def __init__(self, longest: Iterable[str]):
-        levels: dict[int, set[str]] = defaultdict(set)
+        # Shorter grams get one for each different letter before them; those at the start of a word have none and stay.
+        starts: dict[int, set[str]] = defaultdict(set)
+        level: set[str] = set()
         for gram in longest:
-            levels[len(gram)].add(gram)
+            starts[len(gram)].add(gram)
         self.counts: Counter[str] = Counter()
-        for n in range(max(levels, default=1), 1, -1):
-            for gram in levels[n]:
-                self.counts[gram[1:]] += 1
-                levels[n - 1].add(gram[1:])
+        for n in range(max(starts, default=1), 1, -1):
+            level |= starts.pop(n, set())
+            own = Counter(gram[1:] for gram in level)
+            level = set(own)
+            self.counts.update(own)
+        del level
         self.totals, self.kinds = Counter(), Counter()
         for gram, n in self.counts.items():
             self.totals[gram[:-1]] += n
