@@ -189,16 +189,19 @@ def mixed_sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", te
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """`docs` with every row as often as the mix takes it."""
-    _, plan = plan_mix(docs, key, source, text)
-    names = fresh(docs, *[f"mix_{c}" for c in plan.columns], "mix_copies")
-    kept = plan.select(F.struct(*plan.columns).alias(names[0])).withColumn(names[1], F.col(names[0])["source"])
-    joined = docs.join(kept, F.col(source).eqNullSafe(F.col(names[1])))
+    size, number, line, name = fresh(docs, "mix_size", "mix_number", "mix_plan", "mix_source")
+    # Written, so that the words of a text are counted once, however often the expressions below name their number.
+    marked = stored(docs.withColumns({size: n_words(F.col(text)), number: _number(F.col(key), F.col(text))}), "marked")
+    sized = marked.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col(number).alias("number"))
+    plan = mix_of(sized, WEIGHTS, BUDGET, MAX_EPOCHS)
+    kept = plan.select(F.struct(*plan.columns).alias(line)).withColumn(name, F.col(line)["source"])
+    joined = marked.join(kept, F.col(source).eqNullSafe(F.col(name)))
     # The expressions of the plan name its columns, which may clash with those of the caller: rows travel as structs.
     row = joined.select(
         F.struct(*docs.columns).alias("row"),
-        n_words(F.col(text)).alias("size"),
-        _number(F.col(key), F.col(text)).alias("number"),
-        F.col(names[0]).alias("plan"),
+        F.col(size).alias("size"),
+        F.col(number).alias("number"),
+        F.col(line).alias("plan"),
     ).select("row", "size", "number", "plan.*")
     taken = row.withColumn("n_copies", copies(F.col("size"), F.col("number"))).filter("n_copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")
