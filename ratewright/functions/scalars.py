@@ -23,14 +23,22 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+# Java's numbers also allow type suffixes and hexadecimal digits; these are malformed here.
+NUMBER = r"^[\s]*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(?i:inf|infinity|nan))[\s]*$"
+
+
+def _number(value: Column) -> Column:
+    return F.when(value.cast("string").rlike(NUMBER), value.try_cast("double"))
+
+
 def strict_double(value: Column) -> Column:
     """A text or numeric column as double; malformed text and NaN become missing."""
-    return nan_to_null(value.try_cast("double"))
+    return nan_to_null(_number(value))
 
 
 def malformed_number(value: Column) -> Column:
     """True for a value that is present but is no number."""
-    return value.isNotNull() & value.try_cast("double").isNull()
+    return value.isNotNull() & _number(value).isNull()
 
 
 def time_literal(value: datetime) -> Column:
@@ -38,6 +46,9 @@ def time_literal(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def parse_time(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Text to a time without zone; malformed text becomes missing."""
-    return F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")
+def parse_time(value: Column) -> Column:
+    """Text to a time without zone, the time of day being optional; malformed text is an error, as a row that falls in
+    neither part of a split would be lost."""
+    found = value.try_cast("timestamp_ntz")
+    text = F.concat(F.lit("not a time: "), value.cast("string"))
+    return F.when(value.isNotNull(), F.coalesce(found, F.raise_error(text).cast("timestamp_ntz")))

@@ -15,33 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECE_ROWS = 1_000_000
-TRACKED_KEYS = 10_000
-MAX_HEAVY_KEYS = 1_024
-NULL_KEY_PIECES = 1_024
+# A key is heavy above the mean rows of a partition divided by this number.
+PIECES_PER_PARTITION = 4
 
 # Per key column: the heavy values and the number of pieces each is split into. None stands for the missing key.
 HeavyKeys = Mapping[str, Sequence[tuple[Any, int]]]
 
 
-def find_heavy(rows: DataFrame, keys: Sequence[str], piece_rows: int = PIECE_ROWS) -> HeavyKeys:
-    """Heavy values of each key column, those with more than `piece_rows` rows.
+def find_heavy(rows: DataFrame, keys: Sequence[str], piece_rows: int | None = None) -> HeavyKeys:
+    """All heavy values of each key column, those with more than `piece_rows` rows, counted exactly.
 
-    One action over the key columns: every task keeps a sketch of fixed size, so nothing is shuffled by key and at most
-    `MAX_HEAVY_KEYS` values per column reach the driver. The sketch finds each value whose share of the rows exceeds its
-    error, about 1/7500; what it misses costs balance, never rows. As an action it costs a pass over `rows`, hence give it
-    a stored table rather than a long chain of joins.
+    By default a heavy value has more rows than a quarter of a shuffle partition, so there are at most four times as many
+    of them as there are partitions: the list is bounded by that, whatever the data are. Counting combines rows within
+    tasks first, so no key is hot. As actions the counts cost a pass over `rows` per column and one for their number;
+    give it a stored table rather than a long chain of joins.
     """
-    sketches = [F.expr(f"approx_top_k(`{k}`, {MAX_HEAVY_KEYS}, {TRACKED_KEYS})").alias(k) for k in keys]
-    # A missing key is told apart by its own count: the sketch sees only values.
-    absent = [F.count_if(F.col(k).isNull()).alias(f"{k} absent") for k in keys]
-    found = rows.agg(*sketches, *absent).first()
+    if piece_rows is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        piece_rows = max(1, rows.count() // (PIECES_PER_PARTITION * partitions))
     heavy: dict[str, list[tuple[Any, int]]] = {}
     for k in keys:
-        entries = [(e["item"], -(-e["count"] // piece_rows)) for e in found[k] or [] if e["item"] is not None]
-        heavy[k] = [(value, pieces) for value, pieces in entries if pieces > 1]
-        if found[f"{k} absent"] > piece_rows:
-            heavy[k].append((None, NULL_KEY_PIECES))
+        found = rows.groupBy(F.col(k).alias("value")).agg(F.count("*").alias("n")).filter(F.col("n") > piece_rows)
+        heavy[k] = [(r.value, -(-r.n // piece_rows)) for r in found.collect()]
     return heavy
 
 
@@ -71,7 +66,8 @@ def salted_join(
         known = [(v, n) for v, n in entries if v is not None]
         table = F.broadcast(left.sparkSession.createDataFrame(known, schema))
         spread = F.xxhash64(*(spread_by or [c for c in left.columns if c != on] or [on]))
-        pieces = F.when(F.col(on).isNull(), NULL_KEY_PIECES).otherwise(F.coalesce("key_pieces", F.lit(1)))
+        absent = max([n for v, n in entries if v is None], default=1)
+        pieces = F.when(F.col(on).isNull(), absent).otherwise(F.coalesce("key_pieces", F.lit(1)))
         cut = left.join(table, on, "left").withColumn("key_piece", F.pmod(spread, pieces).cast("int"))
         repeated = (
             right.join(table, on, "left")

@@ -41,9 +41,18 @@ def test_number_and_range_rules(spark):
     ]
 
 
-def test_times_are_parsed_or_missing(spark):
-    df = spark.createDataFrame([("2024-02-29 01:02:03",), ("2024-02-30 00:00:00",), (None,)], "s STRING")
-    assert [r[0] for r in df.select(parse_time(F.col("s"))).collect()] == [datetime(2024, 2, 29, 1, 2, 3), None, None]
+def test_times_are_parsed_or_refused(spark):
+    df = spark.createDataFrame([("2024-02-29 01:02:03",), ("2024-02-29",), (None,)], "s STRING")
+    got = [r[0] for r in df.select(parse_time(F.col("s"))).collect()]
+    assert got == [datetime(2024, 2, 29, 1, 2, 3), datetime(2024, 2, 29), None]
+    with pytest.raises(Exception, match="not a time: 2024-02-30"):
+        spark.createDataFrame([("2024-02-30 00:00:00",)], "s STRING").select(parse_time(F.col("s"))).collect()
+
+
+def test_numbers_with_suffixes_are_malformed(spark):
+    df = spark.createDataFrame([("7d",), ("7f",), ("0x1p3",), ("1e3",), (" 7. ",), ("-.5",)], "s STRING")
+    got = [tuple(r) for r in df.select(strict_double(F.col("s")), malformed_number(F.col("s"))).collect()]
+    assert got == [(None, True)] * 3 + [(1000.0, False), (7.0, False), (-0.5, False)]
 
 
 def test_clean_submission_passes(spark):

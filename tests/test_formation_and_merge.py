@@ -128,6 +128,11 @@ def test_split_join_spreads_the_heavy_key(spark):
     assert sum(sizes) == 8000 and len(sizes) >= 6 and max(sizes) < 3000
 
 
+def test_every_heavy_key_is_found(spark):
+    rows = spark.range(3_000).selectExpr("id AS user_id", "explode(sequence(1, 3)) AS n")
+    assert len(find_heavy(rows, ["user_id"], piece_rows=2)["user_id"]) == 3_000
+
+
 def test_no_heavy_keys_in_even_data(spark):
     assert find_heavy(spark.range(1000).withColumnRenamed("id", "user_id"), ["user_id"]) == {"user_id": []}
 

@@ -37,10 +37,16 @@ def test_split_date_is_the_element_at_its_place(spark, values, ratio):
 
 
 def test_split_date_reads_text(spark):
-    df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-02 10:30:00",), ("bad",)], "timestamp STRING")
+    df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-02 10:30:00",), ("2024-01-03",)], "timestamp STRING")
     assert temporal.split_date(df, 0.5).first().split_date == datetime(2024, 1, 2, 10, 30)
 
 
+def test_malformed_times_are_not_lost(spark):
+    df = spark.createDataFrame([("2024-01-01 00:00:00",), ("bad",)], "timestamp STRING")
+    with pytest.raises(Exception, match="not a time: bad"):
+        temporal.temporal_parts(df, datetime(2024, 1, 1))[0].collect()
+
+
 @pytest.mark.parametrize("ratio", [0, 1, -0.1, 1.5])
 def test_ratio_must_lie_inside_the_unit_interval(spark, ratio):
     with pytest.raises(ValueError, match="ratio"):

@@ -104,28 +104,33 @@ def test_masked_mean_in_both_forms(spark):
 
 
 def length_encoder():
-    import numpy
+    """A factory that travels to the workers by value: they cannot import this file."""
 
-    def encode(texts):
-        assert len(texts) <= 3
-        width = max(1, *(len(t) for t in texts), 1)
-        mask = numpy.zeros((len(texts), width))
-        hidden = numpy.zeros((len(texts), width, 2))
-        for i, t in enumerate(texts):
-            mask[i, : len(t)] = 1
-            hidden[i, : len(t), 0] = len(t)
-            hidden[i, : len(t), 1] = 1
-            hidden[i, len(t) :, 1] = 99
-        return hidden, mask
+    def make():
+        import numpy
 
-    return encode
+        def encode(texts):
+            assert len(texts) <= 3
+            width = max(1, *(len(t) for t in texts), 1)
+            mask = numpy.zeros((len(texts), width))
+            hidden = numpy.zeros((len(texts), width, 2))
+            for i, t in enumerate(texts):
+                mask[i, : len(t)] = 1
+                hidden[i, : len(t), 0] = len(t)
+                hidden[i, : len(t), 1] = 1
+                hidden[i, len(t) :, 1] = 99
+            return hidden, mask
+
+        return encode
+
+    return make
 
 
 def test_encoding_pools_batches_and_skips_cached_books(spark):
     docs = frame(spark, ["abcd", None, "xy", "z", "cached"])
     cache = spark.createDataFrame([(4, [0.5, 0.5])], "book_id INT, embedding ARRAY<FLOAT>")
     todo = embeddings.books_to_encode(lookups.first_descriptions(docs), cache)
-    got = embeddings.encode_books(todo, length_encoder, batch_size=3, tasks=2)
+    got = embeddings.encode_books(todo, length_encoder(), batch_size=3, tasks=2)
     assert {r.book_id: r.embedding for r in got.collect()} == {0: [4.0, 1.0], 1: [0.0, 0.0], 2: [2.0, 1.0], 3: [1.0, 1.0]}
     rows = spark.createDataFrame([(1, 0), (1, 77)], "user_id INT, book_id INT")
     found = {r.book_id: r.embedding for r in lookups.attach_embeddings(rows, got, dim=2).collect()}
