@@ -1,11 +1,17 @@
 """Exact top-k search by BM25 over a sharded inverted index with block-max pruning.
 
-Documents are dealt over shards by the hash of their id and text. A shard sorts its postings by term and keeps, per term
-and block of `BLOCK_DOCS` documents, the largest impact in that block, all with global statistics: number of documents,
-mean length and document frequencies over the whole table. For a query the block maxima of its terms are summed into an
-upper bound per block (the pivot test of WAND, made for all blocks at once); blocks are scored in the order of their
-bounds, and the search ends at the first block whose bound does not exceed the k-th score so far, so every pruned document
-provably stays below it. The best k of each shard are merged into the best k overall. Ties go to the smaller id.
+Documents are dealt over shards by the hash of their id and text, queries over blocks of about `QUERY_BLOCK`; a task has
+one shard and one block of queries, so its memory is bounded by both. All statistics are global: number of documents, mean
+length and document frequencies over the whole table. A shard orders its documents by length, as the impact of a term
+depends on it, and keeps postings by term. Terms in more than one of `COMMON_SHARE` documents of the shard also have the
+largest impact per run of `BLOCK_DOCS` documents.
+
+The pivot test of WAND is made for all documents of a shard at once: the upper bound of a document is what the query's
+rare terms give it, taken from their postings, plus the block maxima of the query's common terms, whose long postings are
+never read. Documents are then scored in the order of their bounds, in steps that double, and the search ends when no bound
+reaches the k-th score so far, so every document left out provably stays below it. The best k of each shard
+are merged into the best k overall. Scores are rounded to nine decimals, so that sums made in another order tie; ties go to
+the smaller id.
 
 Terms are lower-cased words (A to Z; words end at ASCII white space), known by 64-bit hashes. Queries are bags of terms:
 a term counts as often as the query has it. A query without a term that occurs finds nothing; documents that share no
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +36,12 @@ from ..session import stored
 
 K1, B = 1.2, 0.75
 TOP_K = 10
-BLOCK_DOCS = 64
+BLOCK_DOCS = 4
+COMMON_SHARE = 8
 SHARD_DOCS = 8_192
+QUERY_BLOCK = 4_096
+FIRST_STEP = 16
+DECIMALS, SLACK = 9, 1e-8
 
 BAG = T.StructType(
     [
@@ -53,74 +63,90 @@ def bag_of_terms(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["terms", "tfs", "length"])
 
 
+def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places first[i], ..., first[i] + sizes[i] - 1 of every i, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(first - before, sizes) + np.arange(sizes.sum())
+
+
 class Shard:
-    """The inverted index of one shard: impacts by term, and block maxima by term. The inverse document frequency is the
-    query's part, as it is the same for all documents."""
+    """The index of one shard: impacts by term, and block maxima and document lists of common terms. The inverse document
+    frequency is the query's part, as it is the same for all documents."""
 
     def __init__(self, docs: pd.DataFrame, mean_length: float):
-        docs = docs.sort_values("id", kind="stable")
+        docs = docs.sort_values(["length", "id"], kind="stable")
         self.ids = docs["id"].to_numpy(np.int64)
-        sizes = np.array([len(t) for t in docs["terms"]], np.int64)
-        owner = np.repeat(np.arange(len(docs)), sizes)
+        n_docs = len(docs)
         none = np.zeros(0, np.int64)
-        terms = np.concatenate([none, *docs["terms"]]).astype(np.int64)
-        tf = np.concatenate([none, *docs["tfs"]]).astype(np.float32)
+        sizes = np.array([len(t) for t in docs["terms"]], np.int64)
+        owner = np.repeat(np.arange(n_docs, dtype=np.int32), sizes)
+        self.terms, number = np.unique(np.concatenate([none, *docs["terms"]]).astype(np.int64), return_inverse=True)
+        tf = np.concatenate([none, *docs["tfs"]]).astype(float)
         norm = K1 * (1 - B + B * docs["length"].to_numpy(float) / max(mean_length, 1e-9))
         impact = tf * (K1 + 1) / (tf + norm[owner])
-        order = np.lexsort((owner, terms))
-        self.owner, self.impact = owner[order].astype(np.int32), impact[order]
-        terms = terms[order]
-        self.terms, self.first = np.unique(terms, return_index=True)
-        self.after = np.r_[self.first[1:], len(terms)]
-        # Block maxima lie in the order of (term, block).
-        blocks = self.owner // BLOCK_DOCS
-        new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])]) if len(terms) else none
-        self.block = blocks[new]
-        self.maximum = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.block_first = np.searchsorted(new, self.first)
-        self.block_after = np.searchsorted(new, self.after)
-        self.n_blocks = -(-len(docs) // BLOCK_DOCS)
+        # By term; the sort is stable, so documents rise within each.
+        order = np.argsort(number, kind="stable")
+        self.owner, self.impact = owner[order], impact[order]
+        self.df = np.bincount(number, minlength=len(self.terms))
+        self.first = np.cumsum(self.df) - self.df
+        common = np.flatnonzero(self.df * COMMON_SHARE > n_docs)
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.maxima = np.zeros((len(common), -(-n_docs // BLOCK_DOCS)))
+        of_common = spans(self.first[common], self.df[common])
+        cell = np.repeat(np.arange(len(common)), self.df[common]), self.owner[of_common] // BLOCK_DOCS
+        np.maximum.at(self.maxima, cell, self.impact[of_common])
+        # The common terms of each document.
+        row = self.row[number]
+        kept = row >= 0
+        self.common_row, self.common_impact = row[kept], impact[kept]
+        self.common_size = np.bincount(owner[kept], minlength=n_docs)
+        self.common_start = np.cumsum(self.common_size) - self.common_size
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The best k as (score, id)."""
-        at = np.searchsorted(self.terms, terms)
         if not len(self.terms):
             return []
+        at = np.searchsorted(self.terms, terms)
         found = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
         at, weights = at[found], weights[found]
-        if not len(at):
-            return []
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(at, weights, strict=True):
-            part = slice(self.block_first[t], self.block_after[t])
-            bound[self.block[part]] += w * self.maximum[part]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        step = 4
-        for start in range(0, len(order), step):
-            group = order[start : start + step]
-            threshold = best[k - 1][0] if len(best) >= k else 0.0
+        row = self.row[at]
+        common = row >= 0
+        of_common = np.zeros(len(self.maxima))
+        of_common[row[common]] = weights[common]
+        rare = self._rare_part(at[~common], weights[~common])
+        bound = rare + np.repeat(of_common @ self.maxima, BLOCK_DOCS)[: len(rare)]
+        best, scores = np.zeros(0, np.int64), np.zeros(0)
+        # The first step takes the largest bounds unsorted; only what its k-th score cannot rule out is ever sorted.
+        order = np.argpartition(-bound, min(FIRST_STEP, len(bound)) - 1)
+        group, rest, step = order[:FIRST_STEP], order[FIRST_STEP:], FIRST_STEP
+        while len(group):
+            found = rare[group] + self._common_part(group, of_common)
+            scores = np.r_[scores, np.round(found[found > 0], DECIMALS)]
+            best = np.r_[best, group[found > 0]]
+            top = np.lexsort((self.ids[best], -scores))[:k]
+            scores, best = scores[top], best[top]
             # Bounds are sums in another order than scores are; the slack keeps rounding from pruning a tie.
-            group = group[bound[group] * (1 + 1e-9) >= threshold] if threshold else group[bound[group] > 0]
-            if not len(group):
-                break
-            for b in group:
-                best += self._scored(int(b), at, weights)
-            best = sorted(best, key=lambda s: (-s[0], s[1]))[:k]
-        return best
-
-    def _scored(self, block: int, at: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
-        low = block * BLOCK_DOCS
-        scores = np.zeros(min(BLOCK_DOCS, len(self.ids) - low))
-        hit = np.zeros(len(scores), bool)
-        for t, w in zip(at, weights, strict=True):
-            own = self.owner[self.first[t] : self.after[t]]
-            a, b = np.searchsorted(own, (low, low + BLOCK_DOCS))
-            if a < b:
-                places = own[a:b] - low
-                scores[places] += w * self.impact[self.first[t] + a : self.first[t] + b]
-                hit[places] = True
-        return [(float(scores[i]), int(self.ids[low + i])) for i in np.flatnonzero(hit)]
+            rest = rest[bound[rest] * (1 + SLACK) + SLACK >= scores[-1]] if len(best) == k else rest[bound[rest] > 0]
+            if step == FIRST_STEP:
+                rest = rest[np.argsort(-bound[rest], kind="stable")]
+            step *= 2
+            group, rest = rest[:step], rest[step:]
+        return list(zip(scores.tolist(), self.ids[best].tolist(), strict=True))
+
+    def _rare_part(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What these terms give every document."""
+        df = self.df[at]
+        places = spans(self.first[at], df)
+        gains = self.impact[places] * np.repeat(weights, df)
+        return np.bincount(self.owner[places], gains, minlength=len(self.ids))
+
+    def _common_part(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What common terms give some documents; `weights` has one number per common term."""
+        sizes = self.common_size[docs]
+        places = spans(self.common_start[docs], sizes)
+        gains = weights[self.common_row[places]] * self.common_impact[places]
+        return np.bincount(np.repeat(np.arange(len(docs)), sizes), gains, minlength=len(docs))
 
 
 def search(
@@ -130,6 +156,7 @@ def search(
     text: str = "text",
     k: int = TOP_K,
     shard_docs: int = SHARD_DOCS,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Per query and rank (from 1): query_id, rank, id, score. `queries` has the same two columns as `docs`; ids are whole
     numbers."""
@@ -151,9 +178,15 @@ def search(
         .select("id", F.col("list.terms").alias("terms"), F.col("list.weight").alias("weights")),
         "queries",
     )
-    shard = F.pmod(F.col("place"), F.lit(n_shards)).cast("int")
-    lists = bags.filter(F.col("id").isNotNull()).select(shard.alias("shard"), "id", "bag.*")
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    n_blocks = max(1, -(-asked.count() // query_block))
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    shard = F.pmod(F.col("place"), F.lit(n_shards)).cast("int").alias("shard")
+    lists = bags.filter(F.col("id").isNotNull()).select(shard, numbers(n_blocks).alias("block"), "id", "bag.*")
+    block = F.pmod(F.xxhash64("id", "terms"), F.lit(n_blocks)).cast("int").alias("block")
+    everywhere = asked.select("*", block, numbers(n_shards).alias("shard"))
 
     def run(_: tuple, own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         index = Shard(own, mean_length)
@@ -163,7 +196,7 @@ def search(
         kinds = {"query_id": "int64", "id": "int64", "score": "float64"}
         return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
-    found = lists.groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInPandas(
+    found = lists.groupBy("shard", "block").cogroup(everywhere.groupBy("shard", "block")).applyInPandas(
         run, "query_id bigint, id bigint, score double"
     )
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

@@ -438,11 +438,12 @@ def slow_search(docs, queries, k):
         yield q, sorted(scores)[:k]
 
 
-@pytest.mark.parametrize("shard_docs", [8_192, 37])
-def test_search_equals_brute_force(spark, table, shard_docs):
+@pytest.mark.parametrize("shard_docs, query_block", [(8_192, 4_096), (37, 3)])
+def test_search_equals_brute_force(spark, table, shard_docs, query_block):
     df = spark.read.parquet(f"{FOLDER}/documents.parquet")
     found = defaultdict(list)
-    for r in bm25.search(df, df.filter("doc_id % 20 = 0"), shard_docs=shard_docs).sort("query_id", "rank").collect():
+    hits = bm25.search(df, df.filter("doc_id % 20 = 0"), shard_docs=shard_docs, query_block=query_block)
+    for r in hits.sort("query_id", "rank").collect():
         found[r.query_id].append((r.doc_id, r.score))
     docs = {int(d): t for d, t in zip(table.doc_id, table.text, strict=True)}
     for q, expected in slow_search(docs, [d for d in docs if d % 20 == 0], 10):
