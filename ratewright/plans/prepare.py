@@ -13,13 +13,17 @@ from .. import names as N
 from ..functions import zero_vector
 from ..operators import aggregates, embeddings, lookups, merge, missing, tfidf
 from ..operators.skew import find_heavy
-from ..session import stored, widen
+from ..session import stored
 from ..sources import append_embeddings, load_table, read_embeddings, save_table, versioned, write_features
 
 
 @dataclass(frozen=True)
 class TextSettings:
-    """How texts become features. `version` names the vocabulary and the embeddings of one state of the data."""
+    """How texts become features. `version` names the vocabulary and the embeddings of one state of the data.
+
+    `text_tasks` spreads the descriptions over so many tasks first, for scans of few files that cannot be split; by default
+    they stay as they were read.
+    """
 
     version: str
     artefacts: str
@@ -29,6 +33,7 @@ class TextSettings:
     embedding_dim: int = N.EMBEDDING_DIM
     make_encoder: Callable[[], embeddings.Encoder] | None = None
     encoder_tasks: int | None = None
+    text_tasks: int | None = None
 
 
 @dataclass(frozen=True)
@@ -41,7 +46,9 @@ class Prepared:
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         load_table(spark, path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True
 
@@ -49,9 +56,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def fitted_vocabulary(
     spark: SparkSession, descriptions: DataFrame, train: DataFrame, text: TextSettings
 ) -> DataFrame:
-    """The stored vocabulary of this version, fitted on the descriptions of train books if it is not there yet."""
+    """The stored vocabulary of this version, fitted on the descriptions of train books if it is not there yet.
+
+    Its settings are stored beside it, before it; asking for the same version with others is an error.
+    """
     path = versioned(text.artefacts, "vocabulary", text.version)
-    if not _exists(spark, path):
+    settings_path = versioned(text.artefacts, "vocabulary-settings", text.version)
+    wanted = (text.max_features, text.min_df, float(text.max_df))
+    fitted = _exists(spark, path)
+    if fitted or _exists(spark, settings_path):
+        found = tuple(load_table(spark, settings_path).first())
+        if found != wanted:
+            raise ValueError(f"version {text.version} has (max_features, min_df, max_df) = {found}, not {wanted}")
+    else:
+        save_table(spark.createDataFrame([wanted], "max_features INT, min_df INT, max_df DOUBLE"), settings_path)
+    if not fitted:
         fit_on = lookups.descriptions_of(descriptions, train)
         save_table(tfidf.fit_vocabulary(fit_on, text.max_features, text.min_df, text.max_df), path)
     return load_table(spark, path)
@@ -88,7 +107,9 @@ def prepare(spark: SparkSession, tables: dict[str, DataFrame], folder: str, text
     once: the fill values need a pass over them before the filled rows can be made, and reading two columns back is
     cheaper than joining twice.
     """
-    descriptions = widen(tables["book_descriptions"])
+    descriptions = tables["book_descriptions"]
+    if text.text_tasks is not None:
+        descriptions = descriptions.repartition(text.text_tasks)
     log = merge.union_sources(merge.keep_rated(tables["train"]), tables["test"])
     heavy = find_heavy(log, N.PAIR)
     merged = merge.attach_books(merge.attach_users(log, tables["users"], heavy), tables["books"], heavy=heavy)

@@ -49,16 +49,3 @@ def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     path = fresh_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-FEW_FILES = 64
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread the rows of a scan of few files over all cores.
-
-    A file with one row group is read by one task, and everything up to the next shuffle runs in that task. A table of
-    many files is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < min(cores, FEW_FILES) else df

@@ -6,6 +6,7 @@ An artefact lives in a folder named by a version that the caller gives, so chang
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import names as N
 
@@ -28,4 +29,5 @@ def append_embeddings(embeddings: DataFrame, path: str) -> None:
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(N.BOOK, N.EMBEDDING)
+    """One embedding per book. A repeated append or two runs at once may store a book twice; the smallest array stays."""
+    return spark.read.parquet(path).groupBy(N.BOOK).agg(F.min(N.EMBEDDING).alias(N.EMBEDDING))

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from importlib import import_module
 
 import pytest
@@ -9,8 +10,8 @@ from catalog.fixtures import Fixtures
 from ratewright import names as N
 from ratewright.operators import boosting, matrix
 from ratewright.plans import predict, train
-from ratewright.session import fresh_path, shared_folder, stored, widen
-from ratewright.sources import load_table, read_features, save_table, scan, scan_raw_folder, versioned, write_submission
+from ratewright.session import fresh_path, shared_folder, stored
+from ratewright.sources import append_embeddings, load_table, read_embeddings, read_features, save_table, scan, scan_raw_folder, versioned, write_submission
 
 FOLDER = "/root/testdata/sf0.001"
 SETTINGS = boosting.BoostingSettings(max_rounds=6, patience=2, first_rounds=3, step_size=0.1, max_depth=3)
@@ -154,10 +155,23 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert fresh_path(spark, "x").startswith(shared_folder(spark))
 
 
-def test_few_files_are_spread_over_the_cores(spark):
-    one_file = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    assert widen(one_file).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert widen(widen(one_file).select("doc_id")).count() == one_file.count()
+def test_a_version_keeps_its_vocabulary_settings(spark):
+    build = import_module("ratewright.plans.prepare")
+    docs = spark.createDataFrame([(1, "one two", 0), (2, "one", 0)], "book_id INT, description STRING, row_order INT")
+    base = fresh_path(spark, "artefacts")
+    text = build.TextSettings("v", base, max_features=5, min_df=1, max_df=1.0)
+    first = build.fitted_vocabulary(spark, docs, docs, text).count()
+    assert build.fitted_vocabulary(spark, docs, docs, text).count() == first
+    with pytest.raises(ValueError, match="version v"):
+        build.fitted_vocabulary(spark, docs, docs, replace(text, max_features=6))
+
+
+def test_a_book_appended_twice_has_one_embedding(spark):
+    path = fresh_path(spark, "embeddings")
+    books = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "book_id INT, embedding ARRAY<FLOAT>")
+    for _ in range(2):
+        append_embeddings(books, path)
+    assert sorted(r.book_id for r in read_embeddings(spark, path).collect()) == [1, 2]
 
 
 def test_artefacts_are_reused_within_a_version_and_only_new_books_encoded(spark):
