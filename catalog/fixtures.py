@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ratewright import names as N
 from ratewright.functions import time_literal
-from ratewright.operators import formation
+from ratewright.operators import formation, merge
+from ratewright.operators.skew import HeavyKeys, find_heavy
 from ratewright.session import stored
 
 BOUNDARY = datetime(2000, 12, 31)
@@ -72,6 +73,15 @@ class Fixtures:
     def test(self) -> DataFrame:
         return self.solution.select(*N.PAIR)
 
+    @cached_property
+    def rated_log(self) -> DataFrame:
+        """Rated train rows and test rows, stored: heavy keys are counted in them before they are joined."""
+        return stored(merge.union_sources(self.rated, self.test), "log")
+
+    @cached_property
+    def heavy(self) -> HeavyKeys:
+        return find_heavy(self.rated_log, N.PAIR)
+
     @cached_property
     def users(self) -> DataFrame:
         nation = F.col("c_nationkey") % 3
@@ -142,6 +152,10 @@ class Fixtures:
         )
         return first.unionByName(second)
 
+    @cached_property
+    def heavy_descriptions(self) -> HeavyKeys:
+        return find_heavy(self.descriptions, [N.BOOK])
+
     @cached_property
     def embeddings(self) -> DataFrame:
         return self.read("embeddings").select(F.col("vec_id").alias(N.BOOK), N.EMBEDDING)

@@ -8,6 +8,13 @@ STATS_6 = """ROUND(u.user_mean_rating, 6) AS user_mean_rating, u.user_ratings_co
        ROUND(b.book_mean_rating, 6) AS book_mean_rating, b.book_ratings_count,
        ROUND(a.author_mean_rating, 6) AS author_mean_rating"""
 
+AGGREGATE_FEATURES = f"""
+        SELECT r.user_id, r.book_id, {STATS_6}
+        FROM merged r LEFT JOIN user_stats u ON r.user_id = u.user_id LEFT JOIN book_stats b ON r.book_id = b.book_id
+        LEFT JOIN (SELECT author_id, AVG(rating) AS author_mean_rating FROM merged
+                   WHERE source = 'train' GROUP BY author_id) a ON r.author_id = a.author_id
+        WHERE r.source = 'test'"""
+
 PREPARED_6 = """user_id, book_id, has_read, ROUND(rating, 6) AS rating, "timestamp", source, gender, ROUND(age, 6) AS age,
        title, author_id, author_name, ROUND(publication_year, 6) AS publication_year, language, publisher,
        ROUND(avg_rating, 6) AS avg_rating, book_genres_count"""
@@ -24,6 +31,10 @@ RATED_CUT = """(SELECT "timestamp" FROM (SELECT "timestamp", ROW_NUMBER() OVER (
         COUNT(*) OVER () AS n FROM rated) WHERE place = CAST(FLOOR(n * CAST(0.8 AS DOUBLE)) AS BIGINT))"""
 
 
+PARITY_MEANS = f"""SELECT user_id % 2 AS u, book_id % 2 AS b, AVG(rating) AS m FROM rated
+        WHERE "timestamp" <= {RATED_CUT} GROUP BY ALL"""
+
+
 def _filled_stats(rows: str, train: str, part: str | None, columns: str) -> str:
     mean = f"(SELECT AVG(rating) FROM {train})"
     label = f"'{part}' AS part," if part else ""
@@ -200,12 +211,8 @@ _SQL: dict[str, str] = {
     "genre_count": "SELECT book_id, book_genres_count FROM genre_counts",
     "attach_genre_count": f"""
         SELECT r.*, g.book_genres_count FROM {_ROWS} r LEFT JOIN genre_counts g ON r.book_id = g.book_id""",
-    "aggregate_features": f"""
-        SELECT r.user_id, r.book_id, {STATS_6}
-        FROM merged r LEFT JOIN user_stats u ON r.user_id = u.user_id LEFT JOIN book_stats b ON r.book_id = b.book_id
-        LEFT JOIN (SELECT author_id, AVG(rating) AS author_mean_rating FROM merged
-                   WHERE source = 'train' GROUP BY author_id) a ON r.author_id = a.author_id
-        WHERE r.source = 'test'""",
+    "aggregate_features": AGGREGATE_FEATURES,
+    "aggregate_features_split": AGGREGATE_FEATURES,
     "age_median": "SELECT MEDIAN(age) AS age_median FROM merged",
     "global_mean_rating": "SELECT ROUND(AVG(rating), 6) AS global_mean FROM rated",
     "fill_missing": f"SELECT {PREPARED_6} FROM prepared",
@@ -247,6 +254,24 @@ _SQL: dict[str, str] = {
     "tfidf_vocab": "SELECT term, idx, tf, df, ROUND(idf, 6) AS idf FROM vocabulary",
     "tfidf_weights": """
         SELECT book_id, idx, ROUND(x / SQRT(SUM(x * x) OVER (PARTITION BY book_id)), 6) AS weight FROM raw_weights""",
+    "book_vectors": """
+        SELECT book_id, 'tfidf' AS kind, idx, ROUND(w, 6) AS value
+        FROM (SELECT book_id, idx, x / SQRT(SUM(x * x) OVER (PARTITION BY book_id)) AS w FROM raw_weights)
+        WHERE ROUND(w, 6) <> 0 AND book_id IN (SELECT book_id FROM merged)
+        UNION ALL
+        SELECT a.book_id, 'embedding' AS kind, CAST(d.i AS BIGINT) AS idx,
+               ROUND(COALESCE(CAST(v.embedding[d.i + 1] AS DOUBLE), 0), 6) AS value
+        FROM (SELECT DISTINCT book_id FROM merged) a CROSS JOIN range(0, 64) AS d(i)
+             LEFT JOIN vectors v ON a.book_id = v.book_id""",
+    "gbt_group_means": f"""
+        SELECT s.user_id, s.book_id, ROUND(m.m, 6) AS rating_predict
+        FROM solution s JOIN ({PARITY_MEANS}) m ON s.user_id % 2 = m.u AND s.book_id % 2 = m.b""",
+    "gbt_group_loss": f"""
+        SELECT CAST(1 AS BIGINT) AS best_round, ROUND(AVG(e * e), 6) AS loss, COUNT(*) AS n,
+               ROUND(SQRT(AVG(e * e)), 6) AS rmse, ROUND(AVG(ABS(e)), 6) AS mae
+        FROM (SELECT m.m - r.rating AS e FROM rated r JOIN ({PARITY_MEANS}) m
+                     ON r.user_id % 2 = m.u AND r.book_id % 2 = m.b
+              WHERE r."timestamp" > {RATED_CUT})""",
     "embedding_texts": "SELECT book_id, description FROM first_texts",
     "embedding_cache_missing": """
         SELECT book_id FROM first_texts WHERE book_id NOT IN (SELECT book_id FROM vectors)""",

@@ -25,6 +25,8 @@ from ratewright.operators import (
 )
 
 from ratewright.operators.skew import find_heavy, salted_join
+from ratewright.plans.prepare import filled_rows
+from ratewright.plans.train import heavy_keys, leakfree_rows
 from ratewright.session import stored
 
 from . import workflows
@@ -123,20 +125,15 @@ def dedupe_books(x: Fixtures) -> DataFrame:
 
 @query
 def merged_interactions(x: Fixtures) -> DataFrame:
-    return merge.merge_interactions(x.train, x.test, x.users, x.books)
+    return merge.merge_interactions(x.rated_log, x.users, x.books, x.heavy)
 
 
 def _merged(x: Fixtures) -> DataFrame:
-    return merge.merge_interactions(x.train, x.test, x.users, x.books)
+    return merge.merge_interactions(x.rated_log, x.users, x.books, x.heavy)
 
 
 def _prepared(x: Fixtures) -> DataFrame:
-    """The merged rows are stored, as `prepare` does, because filling reads them three times."""
-    log = merge.union_sources(merge.keep_rated(x.train), x.test)
-    heavy = find_heavy(log, N.PAIR)
-    merged = merge.attach_books(merge.attach_users(log, x.users, heavy), x.books, heavy=heavy)
-    rows = stored(aggregates.attach_genre_counts(merged, x.book_genres, heavy), "merged", [N.SOURCE])
-    return missing.fill_missing(rows, rows.filter(F.col(N.SOURCE) == N.TRAIN))
+    return filled_rows(x.rated_log, x.users, x.books, x.book_genres)[1]
 
 
 # Aggregates
@@ -164,8 +161,8 @@ def genre_count(x: Fixtures) -> DataFrame:
 
 @query
 def attach_genre_count(x: Fixtures) -> DataFrame:
-    rows = merge.union_sources(x.rated, x.test).select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP)
-    return aggregates.attach_genre_counts(rows, x.book_genres)
+    rows = x.rated_log.select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP)
+    return aggregates.attach_genre_counts(rows, x.book_genres, x.heavy)
 
 
 STATS = [N.USER_MEAN, N.USER_COUNT, N.BOOK_MEAN, N.BOOK_COUNT, N.AUTHOR_MEAN]
@@ -176,7 +173,17 @@ def aggregate_features(x: Fixtures) -> DataFrame:
     """Test rows with the aggregates of all train rows."""
     rows = stored(_merged(x), "merged", [N.SOURCE])
     test, train = (rows.filter(F.col(N.SOURCE) == s) for s in (N.TEST, N.TRAIN))
-    return rounded(aggregates.attach_rating_stats(test, train).select(*N.PAIR, *STATS))
+    return rounded(aggregates.attach_rating_stats(test, train, heavy_keys(test)).select(*N.PAIR, *STATS))
+
+
+@query
+def aggregate_features_split(x: Fixtures) -> DataFrame:
+    """The same with every key of more than twenty rows treated as heavy, in the merge and in the attachment."""
+    heavy = find_heavy(x.rated_log, N.PAIR, piece_rows=20)
+    rows = stored(merge.merge_interactions(x.rated_log, x.users, x.books, heavy), "merged", [N.SOURCE])
+    test, train = (rows.filter(F.col(N.SOURCE) == s) for s in (N.TEST, N.TRAIN))
+    heavy = find_heavy(rows, [N.USER, N.BOOK, N.AUTHOR], piece_rows=20)
+    return rounded(aggregates.attach_rating_stats(test, train, heavy).select(*N.PAIR, *STATS))
 
 
 @query
@@ -199,7 +206,7 @@ def fill_after_aggregates(x: Fixtures) -> DataFrame:
     """Test rows, filled, aggregated and filled again as scoring does; unknown authors share one pseudo-author."""
     rows = stored(_prepared(x), "prepared", [N.SOURCE])
     test, train = (rows.filter(F.col(N.SOURCE) == s) for s in (N.TEST, N.TRAIN))
-    filled = missing.fill_missing(aggregates.attach_rating_stats(test, train), train)
+    filled = missing.fill_missing(aggregates.attach_rating_stats(test, train, heavy_keys(test)), train)
     return rounded(filled.select(*N.PAIR, N.AUTHOR, N.AGE, *STATS))
 
 
@@ -236,12 +243,7 @@ def split_bounds(x: Fixtures) -> DataFrame:
 def leakfree_aggregates(x: Fixtures) -> DataFrame:
     """Both parts of the train rows with the aggregates of the early part, filled."""
     rows = stored(_prepared(x), "prepared", [N.SOURCE]).filter(F.col(N.SOURCE) == N.TRAIN)
-    early, late = temporal.temporal_parts(rows, temporal.split_date(rows).scalar())
-    parts = [
-        missing.fill_missing(aggregates.attach_rating_stats(p, early), early).withColumn("part", F.lit(name))
-        for name, p in (("train", early), ("validation", late))
-    ]
-    both = parts[0].unionByName(parts[1])
+    both = leakfree_rows(rows, temporal.split_date(rows).scalar(), heavy_keys(rows))
     return rounded(both.select(*N.PAIR, N.TIMESTAMP, N.RATING, "part", *STATS))
 
 
@@ -266,13 +268,13 @@ def ngrams(x: Fixtures) -> DataFrame:
 
 @query
 def train_descriptions(x: Fixtures) -> DataFrame:
-    return lookups.descriptions_of(x.descriptions, x.rated)
+    return lookups.descriptions_of(x.descriptions, x.rated, x.heavy_descriptions)
 
 
 @query
 def description_lookup(x: Fixtures) -> DataFrame:
-    rows = merge.union_sources(x.rated, x.test).select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP)
-    found = lookups.attach_descriptions(rows, x.descriptions)
+    rows = x.rated_log.select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP)
+    found = lookups.attach_descriptions(rows, x.descriptions, x.heavy)
     return found.select(
         *rows.columns,
         F.length(N.DESCRIPTION).cast("bigint").alias("n_chars"),
@@ -282,12 +284,12 @@ def description_lookup(x: Fixtures) -> DataFrame:
 
 @query
 def tfidf_vocab(x: Fixtures) -> DataFrame:
-    return rounded(tfidf.fit_vocabulary(lookups.descriptions_of(x.descriptions, x.rated)))
+    return rounded(tfidf.fit_vocabulary(lookups.descriptions_of(x.descriptions, x.rated, x.heavy_descriptions)))
 
 
 @query
 def tfidf_weights(x: Fixtures) -> DataFrame:
-    vocabulary = tfidf.fit_vocabulary(lookups.descriptions_of(x.descriptions, x.rated))
+    vocabulary = tfidf.fit_vocabulary(lookups.descriptions_of(x.descriptions, x.rated, x.heavy_descriptions))
     return rounded(tfidf.tfidf_weights(lookups.last_descriptions(x.descriptions), vocabulary))
 
 
@@ -314,8 +316,8 @@ def embed_missing_books(x: Fixtures) -> DataFrame:
 @query
 def embedding_lookup(x: Fixtures) -> DataFrame:
     """Each row's embedding, shown by its width, its end values and its squared length."""
-    rows = merge.union_sources(x.rated, x.test).select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP)
-    found = lookups.attach_embeddings(rows, x.embeddings, dim=64)
+    rows = x.rated_log.select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP)
+    found = lookups.attach_embeddings(rows, x.embeddings, x.heavy, dim=64)
     e = F.col(N.EMBEDDING)
     squared = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
     return found.select(
@@ -372,9 +374,7 @@ def feature_matrix(x: Fixtures) -> DataFrame:
 
 @query
 def categorical_index(x: Fixtures) -> DataFrame:
-    rows = merge.attach_books(
-        merge.attach_users(merge.union_sources(x.rated, x.test), x.users), x.books
-    ).select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP, *N.TEXT_CATEGORIES)
+    rows = _merged(x).select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP, *N.TEXT_CATEGORIES)
     filled = rows.fillna(N.MISSING_TEXT, N.TEXT_CATEGORIES)
     indexed = matrix.fit_category_index(filled).transform(filled)
     return indexed.select(
@@ -388,7 +388,7 @@ def categorical_index(x: Fixtures) -> DataFrame:
 
 @query
 def mean_baseline(x: Fixtures) -> DataFrame:
-    return rounded(metrics.mean_baseline(x.test, x.rated))
+    return rounded(workflows.baseline(x))
 
 
 @query
@@ -401,21 +401,22 @@ def clip_predictions(x: Fixtures) -> DataFrame:
 
 @query
 def score_by_stage(x: Fixtures) -> DataFrame:
-    return rounded(metrics.score_by_stage(metrics.mean_baseline(x.test, x.rated), x.solution))
+    return rounded(metrics.score_by_stage(workflows.baseline(x), x.solution))
 
 
 @query
 def regression_metrics(x: Fixtures) -> DataFrame:
     """Errors on the late part of predicting each book's early mean."""
-    early, late = temporal.temporal_parts(x.rated, temporal.split_date(x.rated).scalar())
+    rated = x.rated_log.filter(F.col(N.SOURCE) == N.TRAIN)
+    early, late = temporal.temporal_parts(rated, temporal.split_date(rated).scalar())
     stats = aggregates.book_stats(early).select(N.BOOK, F.col(N.BOOK_MEAN).alias(N.PREDICTION))
-    scored = salted_join(late, stats, N.BOOK, "inner", [N.USER, N.TIMESTAMP])
+    scored = salted_join(late, stats, N.BOOK, "inner", [N.USER, N.TIMESTAMP], heavy=x.heavy)
     return rounded(metrics.regression_metrics(scored))
 
 
 @query
 def prediction_stats(x: Fixtures) -> DataFrame:
-    return rounded(metrics.prediction_stats(metrics.mean_baseline(x.test, x.rated)))
+    return rounded(metrics.prediction_stats(workflows.baseline(x)))
 
 
 @query
@@ -432,7 +433,7 @@ def source_counts(x: Fixtures) -> DataFrame:
 
 
 def _clean_submission(x: Fixtures) -> DataFrame:
-    return metrics.mean_baseline(x.test, x.rated).withColumn(N.PREDICTION, F.col(N.PREDICTION).cast("string"))
+    return workflows.baseline(x).withColumn(N.PREDICTION, F.col(N.PREDICTION).cast("string"))
 
 
 def _broken_submission(x: Fixtures) -> DataFrame:

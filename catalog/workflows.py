@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright import names as N
 from ratewright.functions import strict_double
-from ratewright.operators import boosting, lookups, metrics, tfidf
+from ratewright.operators import boosting, lookups, matrix, metrics, temporal, tfidf
+from ratewright.operators.skew import find_heavy
 from ratewright.plans import predict, prepare, train
 from ratewright.plans.prepare import TextSettings
-from ratewright.session import fresh_path
-from ratewright.sources import load_table, read_features, save_table, scan, write_submission
+from ratewright.session import fresh_path, stored
+from ratewright.sources import (
+    append_embeddings,
+    load_table,
+    read_features,
+    save_table,
+    scan,
+    versioned,
+    write_submission,
+)
 
 from .fixtures import Fixtures
 
@@ -57,6 +69,10 @@ def hashing_encoder(dim: int = 2, digest: str = "md5") -> Callable[[], Callable]
     return make
 
 
+def baseline(x: Fixtures) -> DataFrame:
+    return metrics.mean_baseline(x.test, x.rated, find_heavy(x.test, [N.BOOK]))
+
+
 def _write_csv(df: DataFrame, path: str) -> None:
     (
         df.write.option("header", True)
@@ -96,7 +112,7 @@ def scan_descriptions_roundtrip(x: Fixtures) -> DataFrame:
 def submission(x: Fixtures) -> DataFrame:
     """A submission written as CSV and scanned as the checks would."""
     path = fresh_path(x.spark, "submission")
-    write_submission(metrics.mean_baseline(x.test, x.rated), path)
+    write_submission(baseline(x), path)
     back = scan(x.spark, "submission", path)
     return back.select(*N.PAIR, F.round(strict_double(F.col(N.PREDICTION)), 6).alias(N.PREDICTION))
 
@@ -104,21 +120,22 @@ def submission(x: Fixtures) -> DataFrame:
 @workflow
 def vocabulary_roundtrip(x: Fixtures) -> DataFrame:
     path = fresh_path(x.spark, "vocabulary")
-    save_table(tfidf.fit_vocabulary(lookups.descriptions_of(x.descriptions, x.rated)), path)
+    save_table(tfidf.fit_vocabulary(lookups.descriptions_of(x.descriptions, x.rated, x.heavy_descriptions)), path)
     return load_table(x.spark, path).select("term", "idx", F.round("idf", 6).alias("idf"))
 
 
+DIM = 64
+
+
 def prepared_features(x: Fixtures) -> str:
-    """Features of the fixture tables, prepared with a small vocabulary; returns their folder."""
+    """Features of the fixture tables with the stored embeddings as the cache; returns their folder."""
     folder = fresh_path(x.spark, "features")
     tables = {
         "train": x.train, "test": x.test, "users": x.users, "books": x.books,
         "book_genres": x.book_genres, "book_descriptions": x.descriptions,
     }
-    text = TextSettings(
-        version="1", artefacts=fresh_path(x.spark, "artefacts"), max_features=200, embedding_dim=16,
-        make_encoder=hashing_encoder(16),
-    )
+    text = TextSettings(version="1", artefacts=fresh_path(x.spark, "artefacts"), embedding_dim=DIM)
+    append_embeddings(x.embeddings, versioned(text.artefacts, "embeddings", text.version))
     prepare(x.spark, tables, folder, text)
     return folder
 
@@ -134,16 +151,34 @@ def features_parquet_roundtrip(x: Fixtures) -> DataFrame:
     )
 
 
-SMALL_BOOSTING = boosting.BoostingSettings(
+@workflow
+def book_vectors(x: Fixtures) -> DataFrame:
+    """The stored vectors of each book in long form: its TF-IDF weights and the values of its embedding."""
+    _, books = read_features(x.spark, prepared_features(x))
+
+    def long(kind: str, values: Column) -> DataFrame:
+        placed = books.select(N.BOOK, F.posexplode(values).alias("idx", "value"))
+        return placed.select(
+            N.BOOK, F.lit(kind).alias("kind"), F.col("idx").cast("bigint").alias("idx"),
+            F.round(F.col("value").cast("double"), 6).alias("value"),
+        )
+
+    weights = long(N.TFIDF, vector_to_array(N.TFIDF)).filter("value != 0")
+    return weights.unionByName(long(N.EMBEDDING, F.col(N.EMBEDDING)))
+
+
+# MLlib's rounds and bins cost far more than the data do, so these runs grow few trees, on so many rows at most.
+SHORT_BOOSTING = boosting.BoostingSettings(
     max_rounds=8, patience=2, first_rounds=4, step_size=0.1, max_depth=4, extra={"maxMemoryInMB": 512}
 )
+FIT_ROWS = 20_000
 
 
 @workflow
 def gbt_fit_predict(x: Fixtures) -> DataFrame:
     """Train on prepared features, store the model, load it and predict the test rows."""
     folder, model = prepared_features(x), fresh_path(x.spark, "model")
-    train(x.spark, folder, model, SMALL_BOOSTING)
+    train(x.spark, folder, model, SHORT_BOOSTING, fit_rows=FIT_ROWS)
     return predict(x.spark, folder, model)
 
 
@@ -151,6 +186,48 @@ def gbt_fit_predict(x: Fixtures) -> DataFrame:
 def gbt_best_round(x: Fixtures) -> DataFrame:
     """The validation loss of each round and the round that early stopping keeps."""
     folder, model = prepared_features(x), fresh_path(x.spark, "model")
-    report = train(x.spark, folder, model, SMALL_BOOSTING)
+    report = train(x.spark, folder, model, SHORT_BOOSTING, fit_rows=FIT_ROWS)
     lines = [(i, loss, i == report.best_round) for i, loss in enumerate(report.losses, start=1)]
     return x.spark.createDataFrame(lines, "round INT, loss DOUBLE, kept BOOLEAN")
+
+
+# One tree of two levels over two 0/1 features, without sampling, holds the mean rating of each of the four groups.
+ONE_TREE = boosting.BoostingSettings(
+    max_rounds=1, first_rounds=1, max_depth=2, feature_share=1.0, row_share=1.0, min_rows_per_leaf=1
+)
+
+
+def _parities(x: Fixtures, rows: DataFrame) -> DataFrame:
+    parities = [(F.col(c) % 2).cast("double").alias(f"{c}_odd") for c in N.PAIR]
+    assembler = VectorAssembler(inputCols=[f"{c}_odd" for c in N.PAIR], outputCol=matrix.FEATURES)
+    return assembler.transform(rows.select("*", *parities)).drop(*assembler.getInputCols())
+
+
+def _one_tree(x: Fixtures) -> tuple[boosting.BoostingResult, DataFrame]:
+    """The tree of the early part and the late part of the rated rows."""
+    rated = x.rated_log.filter(F.col(N.SOURCE) == N.TRAIN)
+    early, late = temporal.temporal_parts(rated, temporal.split_date(rated).first().split_date)
+    parts = [stored(_parities(x, p).select(*N.PAIR, N.RATING, matrix.FEATURES), "parities") for p in (early, late)]
+    return boosting.fit_boosting(*parts, ONE_TREE), parts[1]
+
+
+@workflow
+def gbt_group_means(x: Fixtures) -> DataFrame:
+    """The tree, stored and loaded again, on the test rows."""
+    fitted, _ = _one_tree(x)
+    path = fresh_path(x.spark, "model")
+    fitted.model.write().save(path)
+    asked = _parities(x, x.test)
+    predicted = boosting.predict_ratings(GBTRegressionModel.load(path), asked)
+    return predicted.select(*N.PAIR, F.round(N.PREDICTION, 6).alias(N.PREDICTION))
+
+
+@workflow
+def gbt_group_loss(x: Fixtures) -> DataFrame:
+    """The validation loss that early stopping looks at, and the errors of the model."""
+    fitted, late = _one_tree(x)
+    errors = metrics.regression_metrics(fitted.model.transform(late))
+    return errors.select(
+        F.lit(fitted.best).cast("bigint").alias("best_round"), F.lit(round(fitted.losses[0], 6)).alias("loss"), "n",
+        F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"),
+    )

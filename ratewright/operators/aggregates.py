@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from .merge import SPREAD
-from .skew import HeavyKeys, find_heavy, salted_join
+from .skew import HeavyKeys, salted_join
 
 
 def rating_stats(train: DataFrame, key: str, mean: str, count: str | None = None) -> DataFrame:
@@ -40,18 +40,16 @@ def _spread(rows: DataFrame) -> list[str]:
     return [c for c in SPREAD if c in rows.columns]
 
 
-def attach_rating_stats(rows: DataFrame, train: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
+def attach_rating_stats(rows: DataFrame, train: DataFrame, heavy: HeavyKeys) -> DataFrame:
     """Attach the aggregates of `train` to `rows`, which may be other rows than those aggregated.
 
-    Both inputs are read several times and should be stored tables.
+    `train` is read once per key and should be a stored table.
     """
-    if heavy is None:
-        heavy = find_heavy(rows, [N.USER, N.BOOK, N.AUTHOR])
     spread = _spread(rows)
     for key, stats in ((N.USER, user_stats), (N.BOOK, book_stats), (N.AUTHOR, author_stats)):
-        rows = salted_join(rows, stats(train), key, "left", spread, heavy)
+        rows = salted_join(rows, stats(train), key, "left", spread, heavy=heavy)
     return rows
 
 
-def attach_genre_counts(rows: DataFrame, book_genres: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
-    return salted_join(rows, genre_counts(book_genres), N.BOOK, "left", _spread(rows), heavy)
+def attach_genre_counts(rows: DataFrame, book_genres: DataFrame, heavy: HeavyKeys) -> DataFrame:
+    return salted_join(rows, genre_counts(book_genres), N.BOOK, "left", _spread(rows), heavy=heavy)

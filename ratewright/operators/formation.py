@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import names as N
 from ..functions import time_literal
-from .skew import HeavyKeys, salted_join
 
 
 def is_read() -> Column:
@@ -85,6 +84,6 @@ def genre_sizes(book_genres: DataFrame) -> DataFrame:
     return pairs.groupBy(N.GENRE).agg(F.count("*").alias(N.BOOKS_COUNT))
 
 
-def keep_warm(candidates: DataFrame, warm: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
-    """Rows of users in `warm`."""
-    return salted_join(candidates, warm, N.USER, "left_semi", heavy=heavy)
+def keep_warm(candidates: DataFrame, warm: DataFrame) -> DataFrame:
+    """Rows of users in `warm`. Candidates are last reads, one per user, so no key is heavy."""
+    return candidates.join(warm, N.USER, "left_semi")

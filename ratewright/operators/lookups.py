@@ -11,11 +11,11 @@ from .keys import keep_first, keep_last
 from .skew import HeavyKeys, salted_join
 
 
-def descriptions_of(descriptions: DataFrame, rows: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
-    """All description rows of the books that occur in `rows`; copies of one book stay."""
+def descriptions_of(descriptions: DataFrame, rows: DataFrame, heavy: HeavyKeys) -> DataFrame:
+    """All description rows of the books that occur in `rows`; copies of one book stay. `heavy` is of `descriptions`."""
     books = rows.select(N.BOOK).distinct()
     spread = [c for c in descriptions.columns if c not in (N.BOOK, N.DESCRIPTION)]
-    return salted_join(descriptions, books, N.BOOK, "left_semi", spread, heavy)
+    return salted_join(descriptions, books, N.BOOK, "left_semi", spread, heavy=heavy)
 
 
 def last_descriptions(descriptions: DataFrame, order: str = N.ROW_ORDER) -> DataFrame:
@@ -35,19 +35,19 @@ def _spread(rows: DataFrame) -> list[str]:
 
 
 def attach_descriptions(
-    rows: DataFrame, descriptions: DataFrame, order: str = N.ROW_ORDER, heavy: HeavyKeys | None = None
+    rows: DataFrame, descriptions: DataFrame, heavy: HeavyKeys, order: str = N.ROW_ORDER
 ) -> DataFrame:
     """The description of each row's book; a book without one has the empty text."""
     texts = last_descriptions(descriptions, order)
-    joined = salted_join(rows, texts, N.BOOK, "left", _spread(rows), heavy)
+    joined = salted_join(rows, texts, N.BOOK, "left", _spread(rows), heavy=heavy)
     return joined.withColumn(N.DESCRIPTION, F.coalesce(N.DESCRIPTION, F.lit("")))
 
 
 def attach_embeddings(
-    rows: DataFrame, embeddings: DataFrame, dim: int = N.EMBEDDING_DIM, heavy: HeavyKeys | None = None
+    rows: DataFrame, embeddings: DataFrame, heavy: HeavyKeys, dim: int = N.EMBEDDING_DIM
 ) -> DataFrame:
     """The embedding of each row's book; a book without one has the zero vector. `embeddings` has one row per book."""
     joined = salted_join(
-        rows, embeddings.select(N.BOOK, N.EMBEDDING), N.BOOK, "left", _spread(rows), heavy
+        rows, embeddings.select(N.BOOK, N.EMBEDDING), N.BOOK, "left", _spread(rows), heavy=heavy
     )
     return joined.withColumn(N.EMBEDDING, F.coalesce(N.EMBEDDING, zero_vector(dim)))

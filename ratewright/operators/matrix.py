@@ -53,11 +53,12 @@ def vectors_ready(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def fit_assembler(rows: DataFrame) -> PipelineModel:
+def fit_assembler(rows: DataFrame, levels_from: DataFrame | None = None) -> PipelineModel:
     """Category index and vector assembly as one saved pipeline, so that scoring uses the columns of training.
 
     An index becomes a plain number here: naming it a category would tie the learner's bins to the number of publishers.
+    The levels are read from `levels_from`, a stored table with the same categories, where `rows` is a long plan.
     """
-    indexer = fit_category_index(rows)
+    indexer = fit_category_index(rows if levels_from is None else levels_from)
     inputs = [index_name(c) if c in N.TEXT_CATEGORIES else c for c in feature_columns(rows)]
     return PipelineModel([indexer, VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")])

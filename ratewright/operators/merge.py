@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import names as N
 from .formation import is_read
 from .keys import keep_first
-from .skew import HeavyKeys, find_heavy, salted_join
+from .skew import HeavyKeys, salted_join
 
 SPREAD = [N.USER, N.BOOK, N.TIMESTAMP]
 
@@ -29,25 +29,19 @@ def union_sources(train: DataFrame, test: DataFrame) -> DataFrame:
     return tagged.unionByName(test.withColumn(N.SOURCE, F.lit(N.TEST)), allowMissingColumns=True)
 
 
-def attach_users(rows: DataFrame, users: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
+def attach_users(rows: DataFrame, users: DataFrame, heavy: HeavyKeys) -> DataFrame:
     """User metadata, where known. A repeated user repeats the rows."""
-    return salted_join(rows, users, N.USER, "left", SPREAD, heavy)
+    return salted_join(rows, users, N.USER, "left", SPREAD, heavy=heavy)
 
 
-def attach_books(
-    rows: DataFrame, books: DataFrame, order: str = N.ROW_ORDER, heavy: HeavyKeys | None = None
-) -> DataFrame:
+def attach_books(rows: DataFrame, books: DataFrame, heavy: HeavyKeys, order: str = N.ROW_ORDER) -> DataFrame:
     """Book metadata, where known, from the first row of each book."""
     first = keep_first(books, [N.BOOK], order).drop(order)
-    return salted_join(rows, first, N.BOOK, "left", SPREAD, heavy)
+    return salted_join(rows, first, N.BOOK, "left", SPREAD, heavy=heavy)
 
 
 def merge_interactions(
-    train: DataFrame, test: DataFrame, users: DataFrame, books: DataFrame, order: str = N.ROW_ORDER,
-    heavy: HeavyKeys | None = None,
+    rows: DataFrame, users: DataFrame, books: DataFrame, heavy: HeavyKeys, order: str = N.ROW_ORDER
 ) -> DataFrame:
-    """Rated train rows and test rows with the metadata of their user and book."""
-    rows = union_sources(keep_rated(train), test)
-    if heavy is None:
-        heavy = find_heavy(rows, N.PAIR)
-    return attach_books(attach_users(rows, users, heavy), books, order, heavy)
+    """The rows of `union_sources` with the metadata of their user and book."""
+    return attach_books(attach_users(rows, users, heavy), books, heavy, order)

@@ -9,7 +9,7 @@ from .. import names as N
 from ..functions import clip_rating
 from .aggregates import book_stats
 from .missing import global_mean
-from .skew import salted_join
+from .skew import HeavyKeys, salted_join
 
 # Fixed value: width of the rating range, by which both errors are divided.
 RANGE_WIDTH = 10.0
@@ -74,8 +74,9 @@ def prediction_stats(submission: DataFrame) -> DataFrame:
     )
 
 
-def mean_baseline(pairs: DataFrame, train: DataFrame) -> DataFrame:
+def mean_baseline(pairs: DataFrame, train: DataFrame, heavy: HeavyKeys) -> DataFrame:
     """The book's mean train rating, or the global mean for a book without ratings, as a prediction per pair."""
-    known = salted_join(pairs.select(*N.PAIR), book_stats(train).select(N.BOOK, N.BOOK_MEAN), N.BOOK, "left", [N.USER])
+    means = book_stats(train).select(N.BOOK, N.BOOK_MEAN)
+    known = salted_join(pairs.select(*N.PAIR), means, N.BOOK, "left", [N.USER], heavy=heavy)
     value = F.coalesce(F.col(N.BOOK_MEAN), global_mean(train).scalar())
     return known.select(*N.PAIR, value.alias(N.PREDICTION))

@@ -46,18 +46,20 @@ def salted_join(
     on: str,
     how: str = "left",
     spread_by: Sequence[str] = (),
-    heavy: HeavyKeys | None = None,
+    *,
+    heavy: HeavyKeys,
 ) -> DataFrame:
     """Join the large `left` to `right` with the heavy keys of `left` split into pieces.
 
     `how` is inner, left, left_semi or left_anti: joins in which each left row is decided on its own, so cutting a key of
     the left side into pieces leaves the result unchanged. `spread_by` names left columns that differ between rows of one
     key; their hash picks the piece, and a repeated task picks the same one again. Left rows without a key match nothing
-    and are spread likewise. `heavy` comes from `find_heavy`, which runs here if it is not given.
+    and are spread likewise. `heavy` comes from `find_heavy`, which the caller runs once for all joins of the same rows;
+    building this plan starts no job.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"cannot split the left side of a {how} join")
-    entries = (find_heavy(left, [on]) if heavy is None else heavy).get(on, [])
+    entries = heavy.get(on, [])
     if not entries:
         joined = left.join(right, on, how)
     else:

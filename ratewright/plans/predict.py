@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import names as N
-from ..operators import boosting
+from ..operators import aggregates, boosting, missing
 from ..sources import read_features
-from .train import learner_rows
+from .train import attach_vectors, heavy_keys
 
 
 def predict(spark: SparkSession, folder: str, model_path: str) -> DataFrame:
@@ -17,4 +17,6 @@ def predict(spark: SparkSession, folder: str, model_path: str) -> DataFrame:
     rows, books = read_features(spark, folder)
     known, asked = (rows.filter(F.col(N.SOURCE) == s) for s in (N.TRAIN, N.TEST))
     model = PipelineModel.load(model_path)
-    return boosting.predict_ratings(model, learner_rows(asked, known, books))
+    heavy = heavy_keys(asked)
+    filled = missing.fill_missing(aggregates.attach_rating_stats(asked, known, heavy), known)
+    return boosting.predict_ratings(model, attach_vectors(filled, books, heavy))

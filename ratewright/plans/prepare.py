@@ -71,7 +71,7 @@ def fitted_vocabulary(
     else:
         save_table(spark.createDataFrame([wanted], "max_features INT, min_df INT, max_df DOUBLE"), settings_path)
     if not fitted:
-        fit_on = lookups.descriptions_of(descriptions, train)
+        fit_on = lookups.descriptions_of(descriptions, train, find_heavy(descriptions, [N.BOOK]))
         save_table(tfidf.fit_vocabulary(fit_on, text.max_features, text.min_df, text.max_df), path)
     return load_table(spark, path)
 
@@ -100,24 +100,30 @@ def book_vectors(
     return joined.withColumn(N.EMBEDDING, F.coalesce(N.EMBEDDING, zero_vector(text.embedding_dim)))
 
 
+def filled_rows(log: DataFrame, users: DataFrame, books: DataFrame, book_genres: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged rows of `log` with their genre counts, as stored, and filled.
+
+    `log` is what `union_sources` gives, stored: heavy keys are counted in it before it is joined. The merged rows are
+    written once: the fill values need a pass over them before the filled rows can be made, and reading two columns back
+    is cheaper than joining twice.
+    """
+    heavy = find_heavy(log, N.PAIR)
+    merged = merge.merge_interactions(log, users, books, heavy)
+    rows = stored(aggregates.attach_genre_counts(merged, book_genres, heavy), "merged", [N.SOURCE])
+    return rows, missing.fill_missing(rows, rows.filter(F.col(N.SOURCE) == N.TRAIN))
+
+
 def prepare(spark: SparkSession, tables: dict[str, DataFrame], folder: str, text: TextSettings) -> Prepared:
     """Merge, count genres, fill, add text vectors, and store the features below `folder`.
 
-    Rating aggregates are left to training and prediction, which know the rows they may use. The merged rows are written
-    once: the fill values need a pass over them before the filled rows can be made, and reading two columns back is
-    cheaper than joining twice.
+    Rating aggregates are left to training and prediction, which know the rows they may use.
     """
     descriptions = tables["book_descriptions"]
     if text.text_tasks is not None:
         descriptions = descriptions.repartition(text.text_tasks)
-    log = merge.union_sources(merge.keep_rated(tables["train"]), tables["test"])
-    heavy = find_heavy(log, N.PAIR)
-    merged = merge.attach_books(merge.attach_users(log, tables["users"], heavy), tables["books"], heavy=heavy)
-    rows = stored(aggregates.attach_genre_counts(merged, tables["book_genres"], heavy), "merged", [N.SOURCE])
-    train = rows.filter(F.col(N.SOURCE) == N.TRAIN)
-
-    filled = missing.fill_missing(rows, train)
-    vocabulary = fitted_vocabulary(spark, descriptions, train, text)
+    log = stored(merge.union_sources(merge.keep_rated(tables["train"]), tables["test"]), "log")
+    rows, filled = filled_rows(log, tables["users"], tables["books"], tables["book_genres"])
+    vocabulary = fitted_vocabulary(spark, descriptions, rows.filter(F.col(N.SOURCE) == N.TRAIN), text)
     cache = cached_embeddings(spark, descriptions, text)
     vectors = book_vectors(rows, descriptions, vocabulary, cache, text)
     write_features(filled, vectors, folder)

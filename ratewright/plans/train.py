@@ -6,15 +6,21 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..functions import time_literal
 from ..operators import aggregates, boosting, matrix, metrics, missing, temporal
-from ..operators.skew import find_heavy, salted_join
+from ..operators.skew import HeavyKeys, find_heavy, salted_join
 from ..session import stored
 from ..sources import read_features
 
+PART, EARLY, LATE = "part", "train", "validation"
+
+# Early rows that the trees are grown on, at most about so many.
+FIT_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class TrainingReport:
@@ -25,12 +31,32 @@ class TrainingReport:
     mae: float
 
 
-def learner_rows(rows: DataFrame, train: DataFrame, book_vectors: DataFrame) -> DataFrame:
-    """Rows with the rating aggregates of `train`, filled, and with the text vectors of their book."""
-    heavy = find_heavy(rows, [N.USER, N.BOOK, N.AUTHOR])
-    filled = missing.fill_missing(aggregates.attach_rating_stats(rows, train, heavy), train)
-    spread = [N.USER, N.TIMESTAMP]
-    return salted_join(filled, matrix.vectors_ready(book_vectors), N.BOOK, "left", spread, heavy)
+def heavy_keys(rows: DataFrame) -> HeavyKeys:
+    return find_heavy(rows, [N.USER, N.BOOK, N.AUTHOR])
+
+
+def leakfree_rows(known: DataFrame, cut: Column, heavy: HeavyKeys) -> DataFrame:
+    """Rows up to `cut` and rows after it, named in `part`, with the rating aggregates of the former, filled.
+
+    Each aggregate is made once and joined to both parts in one pass. Rows without a time are in neither part.
+    """
+    time = F.col(N.TIMESTAMP)
+    part = F.when(time <= cut, EARLY).when(time > cut, LATE)
+    parts = known.withColumn(PART, part).filter(F.col(PART).isNotNull())
+    early = known.filter(time <= cut)
+    return missing.fill_missing(aggregates.attach_rating_stats(parts, early, heavy), early)
+
+
+def attach_vectors(rows: DataFrame, book_vectors: DataFrame, heavy: HeavyKeys) -> DataFrame:
+    """The text vectors of each row's book."""
+    return salted_join(rows, matrix.vectors_ready(book_vectors), N.BOOK, "left", [N.USER, N.TIMESTAMP], heavy=heavy)
+
+
+def fitted_share(early_rows: int, fit_rows: int) -> Column:
+    """Whether a row is fitted on: all early rows if there are at most `fit_rows`, else that share of them by hash."""
+    if early_rows <= fit_rows:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(*N.PAIR, N.TIMESTAMP), F.lit(early_rows)) < fit_rows
 
 
 def train(
@@ -39,26 +65,31 @@ def train(
     model_path: str,
     settings: boosting.BoostingSettings | None = None,
     ratio: float = N.SPLIT_RATIO,
+    fit_rows: int = FIT_ROWS,
 ) -> TrainingReport:
     """Split by time, fit with early stopping on the later part, store the model, and report the validation errors.
 
-    Aggregates come from the early part only. The assembled inputs are written before the fit, which reads them many
-    times over.
+    Aggregates come from all rows of the early part and of no other. The trees are grown on about `fit_rows` of its rows
+    at most, since MLlib keeps a number for every feature of every fitted row; validation and scoring use all rows. The
+    assembled inputs are written before the fit, which reads them many times over.
     """
     rows, books = read_features(spark, folder)
     known = rows.filter(F.col(N.SOURCE) == N.TRAIN)
     date = temporal.split_date(known, ratio).first().split_date
     if date is None:
         raise ValueError("the split date falls among rows without a time")
-    early, late = temporal.checked_parts(known, date)
+    early, _ = temporal.checked_parts(known, date)
 
-    inputs = {name: learner_rows(part, early, books) for name, part in (("early", early), ("late", late))}
-    assembler = matrix.fit_assembler(inputs["early"])
-    ready = {}
-    for name, part in inputs.items():
-        ready[name] = stored(assembler.transform(part).select(*N.PAIR, N.RATING, matrix.FEATURES), name)
+    heavy = heavy_keys(known)
+    rows = leakfree_rows(known, time_literal(date), heavy)
+    fitted_on = rows.filter((F.col(PART) == LATE) | fitted_share(early.count(), fit_rows))
+    inputs = attach_vectors(fitted_on, books, heavy)
+    assembler = matrix.fit_assembler(inputs, early)
+    assembled = assembler.transform(inputs).select(*N.PAIR, N.RATING, PART, matrix.FEATURES)
+    both = stored(assembled, "learner-input", [PART])
+    ready = {name: both.filter(F.col(PART) == name) for name in (EARLY, LATE)}
 
-    fitted = boosting.fit_boosting(ready["early"], ready["late"], settings or boosting.BoostingSettings())
-    errors = metrics.regression_metrics(fitted.model.transform(ready["late"])).first()
+    fitted = boosting.fit_boosting(ready[EARLY], ready[LATE], settings or boosting.BoostingSettings())
+    errors = metrics.regression_metrics(fitted.model.transform(ready[LATE])).first()
     PipelineModel([*assembler.stages, fitted.model]).write().overwrite().save(model_path)
     return TrainingReport(date, fitted.best, fitted.losses, errors.rmse, errors.mae)

@@ -152,5 +152,5 @@ def test_examples_are_the_first_by_key(spark):
 def test_baseline_falls_back_to_the_global_mean(spark):
     train = spark.createDataFrame([(1, 10, 4.0), (2, 10, 8.0), (2, 11, 9.0)], "user_id INT, book_id INT, rating DOUBLE")
     pairs = spark.createDataFrame([(5, 10), (6, 99)], "user_id INT, book_id INT")
-    got = {r.book_id: r.rating_predict for r in metrics.mean_baseline(pairs, train).collect()}
+    got = {r.book_id: r.rating_predict for r in metrics.mean_baseline(pairs, train, {}).collect()}
     assert got == {10: 6.0, 99: 7.0}

@@ -74,7 +74,7 @@ def test_repeated_users_repeat_rows_but_repeated_books_do_not(spark):
     books = spark.createDataFrame(
         [(2, "later", 1), (2, None, 0)], "book_id INT, title STRING, row_order INT"
     )
-    merged = merge.merge_interactions(train, test, users, books)
+    merged = merge.merge_interactions(merge.union_sources(train, test), users, books, {})
     assert sorted(r.age for r in merged.collect()) == [30.0, 40.0]
     assert {r.title for r in merged.collect()} == {None}
 
@@ -107,7 +107,7 @@ def test_split_join_equals_plain_join(spark, how):
     heavy = find_heavy(left, ["book_id"], piece_rows=100)
     assert dict(heavy["book_id"])[7] >= 10
     assert None in dict(heavy["book_id"])
-    split = salted_join(left, right, "book_id", how, ["user_id"], heavy)
+    split = salted_join(left, right, "book_id", how, ["user_id"], heavy=heavy)
     assert split.columns == left.columns + ([] if how in ("left_semi", "left_anti") else ["value"])
     assert rows(split) == rows(left.join(right, "book_id", how))
 
@@ -120,7 +120,7 @@ def test_split_join_spreads_the_heavy_key(spark):
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        joined = salted_join(left, right, "book_id", "left", ["user_id"], {"book_id": [(1, 64)]})
+        joined = salted_join(left, right, "book_id", "left", ["user_id"], heavy={"book_id": [(1, 64)]})
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
@@ -146,7 +146,7 @@ def test_aggregates_skip_missing_keys_and_leave_unknown_rows_empty(spark):
     schema = "user_id INT, book_id INT, author_id INT, rating DOUBLE"
     train = spark.createDataFrame([(1, 1, None, 4.0), (1, 2, 3, None), (2, 1, 3, 8.0)], schema)
     asked = spark.createDataFrame([(1, 9, None), (9, 1, 3)], "user_id INT, book_id INT, author_id INT")
-    assert rows(aggregates.attach_rating_stats(asked, train)) == [
+    assert rows(aggregates.attach_rating_stats(asked, train, {})) == [
         (1, 9, None, 4.0, 1, None, None, None), (9, 1, 3, None, None, 6.0, 2, 8.0),
     ]
     genres = spark.createDataFrame([(1, 5), (1, 5), (1, None), (2, None)], "book_id INT, genre_id INT")

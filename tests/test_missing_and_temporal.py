@@ -102,7 +102,7 @@ def test_validation_ratings_never_reach_the_aggregates(spark):
     def features(changed):
         moved = [(u, b, a, 10.0 if changed and t > cut else r, t) for u, b, a, r, t in data]
         early, late = temporal.temporal_parts(spark.createDataFrame(moved, schema), cut)
-        both = aggregates.attach_rating_stats(early, early).unionByName(aggregates.attach_rating_stats(late, early))
+        both = aggregates.attach_rating_stats(early.unionByName(late), early, {})
         return sorted(tuple(r) for r in both.drop("rating").orderBy("user_id", "book_id").fillna(-1).collect())
 
     assert features(False) == features(True)

@@ -72,7 +72,7 @@ def test_features_hold_one_line_per_book_and_no_nulls(spark, prepared):
     columns = matrix.feature_columns(rows)
     assert rows.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict() == dict.fromkeys(columns, 0)
     assert N.HAS_READ not in columns and N.TITLE not in columns and N.GENDER in columns
-    assert books.filter(F.size(N.EMBEDDING) != 16).count() == 0
+    assert books.filter(F.size(N.EMBEDDING) != workflows.DIM).count() == 0
 
 
 def test_reading_the_train_half_prunes_partitions(spark, prepared, capsys):

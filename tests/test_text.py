@@ -133,6 +133,6 @@ def test_encoding_pools_batches_and_skips_cached_books(spark):
     got = embeddings.encode_books(todo, length_encoder(), batch_size=3, tasks=2)
     assert {r.book_id: r.embedding for r in got.collect()} == {0: [4.0, 1.0], 1: [0.0, 0.0], 2: [2.0, 1.0], 3: [1.0, 1.0]}
     rows = spark.createDataFrame([(1, 0), (1, 77)], "user_id INT, book_id INT")
-    found = {r.book_id: r.embedding for r in lookups.attach_embeddings(rows, got, dim=2).collect()}
+    found = {r.book_id: r.embedding for r in lookups.attach_embeddings(rows, got, {}, dim=2).collect()}
     assert found == {0: [4.0, 1.0], 77: [0.0, 0.0]}
     assert np.isfinite(list(found.values())).all()
