@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .workers import Memo
 
-FIT_TOXIC = 800
-FIT_ORDINARY = 700
+FIT_TOXIC = 1_200
+FIT_ORDINARY = 1_500
 PARTS = 4
-ORDER = 8
+ORDER = 9
 TOP = 3
 EASE = 5
 FEATURES = ("peak", "top", "mean", "words")
