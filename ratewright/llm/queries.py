@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import bm25, chat, line_dedup, mixing, packing, quality, simhash, token_counts, token_output, toxicity
+from . import bm25, chat, line_dedup, mixing, packing, quality, simhash, token_counts, token_output, toxicity, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,9 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.pack_documents(docs, BYTE_BPE, BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op11_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return winnowing.find_benchmark(docs, table(spark, folder, "benchmark"))
