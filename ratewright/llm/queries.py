@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import bm25, chat, line_dedup, mixing, packing, quality, simhash, token_counts, token_output, toxicity, winnowing
+from . import bm25, chat, line_dedup, merkle, mixing, packing, quality, simhash, token_counts, token_output, toxicity, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,12 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op11_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return winnowing.find_benchmark(docs, table(spark, folder, "benchmark"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second document (by the checksum of its id) is checked with its line feeds taken out."""
+    docs = table(spark, folder, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    without = F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verify_rows(docs, changed={"text": without})

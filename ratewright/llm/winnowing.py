@@ -5,7 +5,7 @@ Z); words are runs of ASCII letters, digits and non-ASCII characters. A word of
 hit.
 
 Every window is represented by the least hash of the `GRAM_WORDS`-word grams in it (of shorter ones where the window itself
-is shorter). Neighbouring windows mostly share their least gram, so a text keeps a quarter of its grams, and a span of a
+is shorter). Neighbouring windows mostly share their least gram, so a text keeps about half of its grams, and a span of a
 window's length that stands in a text and in an item gives both the same fingerprint: none is missed. Fingerprints of texts
 are joined with those of items. A hit is then extended to the windows around it, which count if they are windows of an item
 word for word (two 64-bit hashes of the words).
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 WINDOW_WORDS = 10
-GRAM_WORDS = 4
+GRAM_WORDS = 8
 # A run of windows with one least gram is written again after so many windows, so a match says where to extend.
 RUN_WINDOWS = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,7 +69,7 @@ def over_runs(rows: DataFrame, values: str, width: int, combine: Callable, out:
     size, made = 1, values
     while size < width:
         step = min(size, width - size)
-        later = F.slice(made, step + 1, 2**31 - 1)
+        later = F.slice(made, step + 1, F.size(made))
         size += step
         rows = rows.withColumn(f"{out}{size}", F.zip_with(made, later, combine))
         made = f"{out}{size}"
