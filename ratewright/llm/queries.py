@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import bm25, chat, line_dedup, merkle, mixing, packing, quality, simhash, token_counts, token_output, toxicity, winnowing
+from . import (
+    alignment, bm25, chat, line_dedup, merkle, mixing, packing, quality, simhash, token_counts, token_output, toxicity,
+    winnowing,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +29,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -108,3 +112,9 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     without = F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.verify_rows(docs, changed={"text": without})
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return alignment.align_tokenizers(docs, BYTE_BPE, PIECE_BPE, BYTE_RANKS, public_tokenizers.PATTERN)

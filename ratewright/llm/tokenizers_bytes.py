@@ -22,14 +22,15 @@ SAFE_CUT = re.compile(r"(?= \S)")
 
 class ByteEncoder:
     """Ids as unsigned little-endian 32-bit numbers, without special tokens added; special strings in texts as the
-    vocabulary file has them. `ranks_path` names the same vocabulary as ranks; without it every miss goes to the first
-    library."""
+    vocabulary file has them, or plain text with `plain`. `ranks_path` names the same vocabulary as ranks; without it every
+    miss goes to the first library."""
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = plain
         self.fast = None
         if ranks_path:
             import tiktoken
