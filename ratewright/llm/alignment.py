@@ -97,20 +97,34 @@ def aligner(a_path: str, b_path: str, ranks_path: str | None, pattern: str | Non
     return once_per_worker(("aligner", a_path, b_path, ranks_path), lambda: Aligner(a_path, b_path, ranks_path, pattern))
 
 
-# Pairs are written as a * 2^PAIR_SHIFT + b in eight bytes, sorted, and how often each occurs in four.
-PAIR_SHIFT = 32
+# Documents whose links travel in one row.
+DEALT_DOCS = 1_024
+# A pair is one unsigned number, its upper half the id of A; how often it occurs takes four bytes.
+TIMES = "<u4"
+
+
+def pair_type(pair_bytes: int) -> np.dtype:
+    """Four bytes hold the pairs of vocabularies of up to 65,536 ids, eight any."""
+    if pair_bytes not in (4, 8):
+        raise ValueError("a pair takes 4 or 8 bytes")
+    return np.dtype(f"<u{pair_bytes}")
+
+
 ALIGNED = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")]
     + [T.StructField("groups_sha256", T.StringType()), T.StructField("pairs", T.BinaryType()), T.StructField("times", T.BinaryType())]
 )
 
 
-def aligned_rows(docs: DataFrame, key: str, text: str, paths: tuple) -> DataFrame:
+def aligned_rows(docs: DataFrame, key: str, text: str, paths: tuple, kind: np.dtype) -> DataFrame:
     """A written table: row, key, counts, the digest of the groups, and the packed links."""
+    shift = np.uint64(4 * kind.itemsize)
 
     @F.pandas_udf(ALIGNED)
     def align(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = aligner(*paths)
+        if max(len(own.a_bytes), len(own.b_bytes)) > 1 << int(shift):
+            raise ValueError("the vocabularies have more ids than half a pair holds")
         for batch in texts:
             found = []
             for text_ in batch:
@@ -120,8 +134,8 @@ def aligned_rows(docs: DataFrame, key: str, text: str, paths: tuple) -> DataFram
                 # The last tokens of a group end together.
                 last_a = np.array([a[x.stop - 1] for x, _ in groups], np.uint64)
                 last_b = np.array([b[y.stop - 1] for _, y in groups], np.uint64)
-                pairs, times = np.unique(last_a << np.uint64(PAIR_SHIFT) | last_b, return_counts=True)
-                packed = pairs.astype("<u8").tobytes(), times.astype("<u4").tobytes()
+                pairs, times = np.unique(last_a << shift | last_b, return_counts=True)
+                packed = pairs.astype(kind).tobytes(), times.astype(TIMES).tobytes()
                 found.append((len(a), len(b), len(groups), len(groups), digest, *packed))
             yield pd.DataFrame(found, columns=ALIGNED.names)
 
@@ -129,49 +143,52 @@ def aligned_rows(docs: DataFrame, key: str, text: str, paths: tuple) -> DataFram
     return stored(rows.select("row", "key", "x.*"), "aligned")
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
+def pair_counts(rows: DataFrame, kind: np.dtype) -> DataFrame:
     """A written table per pair: links that hold it, and whether no pair of its B id has more."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = np.frombuffer(b"".join(batch["pairs"]), "<u8")
-            times = np.frombuffer(b"".join(batch["times"]), "<u4")
+            pairs = np.frombuffer(b"".join(batch["pairs"]), kind)
+            times = np.frombuffer(b"".join(batch["times"]), TIMES)
             known, place = np.unique(pairs, return_inverse=True)
             n = np.bincount(place, weights=times, minlength=len(known)).astype(np.int64)
-            yield pd.DataFrame({"pair": known.view(np.int64), "n": n})
+            yield pd.DataFrame({"pair": known.astype(np.uint64).view(np.int64), "n": n})
 
     summed = rows.select("pairs", "times").mapInPandas(tally, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     # A B id has at most one pair per id of A.
-    own = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(2**PAIR_SHIFT - 1)))
+    own = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(2 ** (4 * kind.itemsize) - 1)))
     return stored(summed.withColumn("best", F.col("n") == F.max("n").over(own)), "pair-counts")
 
 
 def bin_of(pairs: np.ndarray) -> np.ndarray:
     """The bin of each pair; the upper bits of a product mix all bits of the pair."""
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BINS)
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BINS)
 
 
-def dealt_rows(rows: DataFrame, slices: int) -> DataFrame:
-    """Links of batches of rows by bin: bin, slice, and the packed rows, pairs and times."""
+def dealt_rows(rows: DataFrame, slices: int, kind: np.dtype) -> DataFrame:
+    """Links by bin, for up to `DEALT_DOCS` rows at a time: bin, slice, the rows, how many pairs each has in the bin, and
+    their pairs and times."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = batch["times"].map(len).to_numpy() // 4
-            row = np.repeat(batch["row"].to_numpy(np.int64), sizes)
-            pairs = np.frombuffer(b"".join(batch["pairs"]), "<u8")
-            times = np.frombuffer(b"".join(batch["times"]), "<u4")
-            bins = bin_of(pairs)
-            place = int(batch["row"].iloc[0]) % slices if len(batch) else 0
-            found = []
-            for k in range(BINS):
-                own = bins == k
-                found.append((k, place, row[own].tobytes(), pairs[own].tobytes(), times[own].tobytes()))
-            yield pd.DataFrame(found, columns=["bin", "slice", "rows", "pairs", "times"])
-
-    return rows.select("row", "pairs", "times").mapInPandas(deal, "bin int, slice int, rows binary, pairs binary, times binary")
-
-
-def looked_up(dealt: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
+            for at in range(0, len(batch), DEALT_DOCS):
+                part = batch.iloc[at : at + DEALT_DOCS]
+                row = part["row"].to_numpy(np.int64)
+                owner = np.repeat(np.arange(len(row)), part["times"].map(len).to_numpy() // 4)
+                pairs = np.frombuffer(b"".join(part["pairs"]), kind)
+                times = np.frombuffer(b"".join(part["times"]), TIMES)
+                bins, place, found = bin_of(pairs), int(row[0] // DEALT_DOCS % slices), []
+                for k in range(BINS):
+                    own = bins == k
+                    sizes = np.bincount(owner[own], minlength=len(row)).astype(TIMES)
+                    found.append((k, place, row.tobytes(), sizes.tobytes(), pairs[own].tobytes(), times[own].tobytes()))
+                yield pd.DataFrame(found, columns=["bin", "slice", "rows", "sizes", "pairs", "times"])
+
+    schema = "bin int, slice int, rows binary, sizes binary, pairs binary, times binary"
+    return rows.select("row", "pairs", "times").mapInPandas(deal, schema)
+
+
+def looked_up(dealt: DataFrame, counts: DataFrame, slices: int, kind: np.dtype) -> DataFrame:
     """Per row and bin: n_best and count_sum. In every partition the sums of a bin come before the links in it."""
 
     @F.pandas_udf("int")
@@ -182,39 +199,38 @@ def looked_up(dealt: DataFrame, counts: DataFrame, slices: int) -> DataFrame:
     sums = counts.select(bins("pair").alias("bin"), "pair", "n", "best").withColumn("slice", every)
     both = sums.unionByName(dealt, allowMissingColumns=True)
     ordered = both.repartition("bin", "slice").sortWithinPartitions("bin", "slice", F.col("pair").asc_nulls_last())
-    columns = ["pair", "n", "best", "rows", "pairs", "times"]
+    columns = ["bin", "slice", "pair", "n", "best", "rows", "sizes", "pairs", "times"]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, ready = [], None
+        parts, ready, place = [], None, None
         for batch in batches:
-            # Runs of sums and runs of links take turns.
+            # Runs of sums and runs of links of the same bin and slice.
             is_sum = batch["rows"].isna().to_numpy()
-            edges = np.flatnonzero(np.r_[True, is_sum[1:] != is_sum[:-1], True])
+            marks = np.c_[batch["bin"], batch["slice"], is_sum]
+            edges = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1), len(batch) > 0])
             for start, end in zip(edges[:-1], edges[1:], strict=True):
+                run = batch.iloc[start:end]
+                if (own := tuple(marks[start, :2])) != place:
+                    parts, ready, place = [], None, own
                 if is_sum[start]:
-                    if ready is not None:
-                        parts, ready = [], None
-                    run = batch.iloc[start:end]
-                    parts.append((run["pair"].to_numpy(np.int64), run["n"].to_numpy(np.int64), run["best"].to_numpy(bool)))
+                    pair = run["pair"].to_numpy(np.int64).view(np.uint64).astype(kind)
+                    parts.append((pair, run["n"].to_numpy(np.int64), run["best"].to_numpy(bool)))
                     continue
                 if ready is None:
                     ready = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                known, n, best = ready
-                run = batch.iloc[start:end]
-                for row, pairs, times in zip(run["rows"], run["pairs"], run["times"], strict=True):
-                    if not row:
-                        continue
-                    at = np.searchsorted(known, np.frombuffer(pairs, "<i8"))
-                    times = np.frombuffer(times, "<u4").astype(np.int64)
-                    row = np.frombuffer(row, "<i8")
-                    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                    yield pd.DataFrame(
-                        {
-                            "row": row[first],
-                            "n_best": np.add.reduceat(times * best[at], first),
-                            "count_sum": np.add.reduceat(times * n[at], first),
-                        }
-                    )
+                for rows, sizes, pairs, times in zip(run["rows"], run["sizes"], run["pairs"], run["times"], strict=True):
+                    if pairs:
+                        yield summed(ready, *(np.frombuffer(x, t) for x, t in ((rows, "<i8"), (sizes, TIMES), (pairs, kind), (times, TIMES))))
+
+    def summed(known: list[np.ndarray], rows: np.ndarray, sizes: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> pd.DataFrame:
+        pair, n, best = known
+        at, times = np.searchsorted(pair, pairs), times.astype(np.int64)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        columns = {"row": rows}
+        for name, values in (("n_best", times * best[at]), ("count_sum", times * n[at])):
+            total = np.r_[0, np.cumsum(values)]
+            columns[name] = total[ends] - total[ends - sizes]
+        return pd.DataFrame(columns)
 
     return ordered.select(*columns).mapInPandas(look, "row bigint, n_best bigint, count_sum bigint")
 
@@ -227,11 +243,13 @@ def align_tokenizers(
     pattern: str | None = None,
     key: str = "doc_id",
     text: str = "text",
+    pair_bytes: int = 4,
 ) -> DataFrame:
     """Per row: key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    rows = aligned_rows(docs, key, text, (a_path, b_path, ranks_path, pattern))
+    kind = pair_type(pair_bytes)
+    rows = aligned_rows(docs, key, text, (a_path, b_path, ranks_path, pattern), kind)
     slices = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BINS)
-    found = looked_up(dealt_rows(rows, slices), pair_counts(rows), slices)
+    found = looked_up(dealt_rows(rows, slices, kind), pair_counts(rows, kind), slices, kind)
     sums = found.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     kept = rows.select("row", F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     zero = F.lit(0).cast("bigint")

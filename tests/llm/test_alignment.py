@@ -75,8 +75,8 @@ def test_query_equals_the_plain_version(spark, libraries):
     assert {r.doc_id: tuple(r[c] for c in COLUMNS) for r in found} == expected
 
 
-@pytest.mark.parametrize("partitions", ["1", "40"])
-def test_odd_texts(spark, libraries, partitions):
+@pytest.mark.parametrize(("partitions", "pair_bytes"), [("1", 4), ("40", 8)])
+def test_odd_texts(spark, libraries, partitions, pair_bytes):
     texts = [
         None, "", " ", "  a  b ", "\n\t x\r\n", "<|endoftext|> <s></s> <0x41>", "▁a", "é ½ ﬁ 漢字 🙂🙃 ", "a\0b", "don't we'll  it's",
         "lorem ipsum " * 20_000, "same text", "same text", "x" * 3_000, "　 á",
@@ -86,7 +86,7 @@ def test_odd_texts(spark, libraries, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        found = alignment.align_tokenizers(df, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+        found = alignment.align_tokenizers(df, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, pair_bytes=pair_bytes)
         got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in found.collect()}
         assert found.filter(F.lit(False)).count() == 0
     finally:
