@@ -8,7 +8,8 @@ Every window is represented by the least hash of the `GRAM_WORDS`-word grams in
 is shorter). Neighbouring windows mostly share their least gram, so a text keeps about half of its grams, and a span of a
 window's length that stands in a text and in an item gives both the same fingerprint: none is missed. Fingerprints of texts
 are joined with those of items. A hit is then extended to the windows around it, which count if they are windows of an item
-word for word (two 64-bit hashes of the words).
+word for word (two 64-bit hashes of the words). Up to `BROADCAST_PRINTS` fingerprints of items are counted and sent to all
+tasks, which extend hits at once; beyond it fingerprints are shuffled, and texts with matches are read and shuffled again.
 
 Windows of different lengths, which items of fewer than ten words cause, are searched apart, each over all texts.
 
@@ -37,6 +38,8 @@ WINDOW_WORDS = 10
 GRAM_WORDS = 8
 # A run of windows with one least gram is written again after so many windows, so a match says where to extend.
 RUN_WINDOWS = 16
+# So many fingerprints of items are sent to all tasks (about 100 MB as a hash table); beyond it both sides are shuffled.
+BROADCAST_PRINTS = 4_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NODE = ["h1", "h2"]
 KEY = ["n", "k1", "k2"]
@@ -88,8 +91,11 @@ def least_grams(rows: DataFrame, length: int) -> DataFrame:
     return kept.select("*", F.posexplode_outer("least").alias("s", "m")).filter(F.col("s") <= F.size("least") - length)
 
 
-def window_key(length: int) -> list[Column]:
-    words = F.slice("words", F.col("s") + 1, F.lit(length))
+def starts_run() -> Column:
+    return (F.col("s") % RUN_WINDOWS == 0) | (F.col("m") != F.get("least", F.col("s") - 1))
+
+
+def window_key(words: Column, length: int) -> list[Column]:
     return [F.lit(length).alias("n"), *(h.alias(k) for h, k in zip(two_hashes(words), KEY[1:], strict=True))]
 
 
@@ -101,7 +107,9 @@ def item_windows(items: DataFrame, key: str, text: str) -> tuple[DataFrame, list
     # At most WINDOW_WORDS values.
     lengths = sorted(r.length for r in rows.select("length").distinct().collect())
     parts = [
-        least_grams(rows.filter(F.col("length") == n).select("item", "words"), n).select("item", *window_key(n), "m")
+        least_grams(rows.filter(F.col("length") == n).select("item", "words"), n).select(
+            "item", *window_key(F.slice("words", F.col("s") + 1, n), n), "m"
+        )
         for n in lengths
     ]
     if not parts:
@@ -115,29 +123,46 @@ def matched_runs(texts: DataFrame, prints: DataFrame, lengths: list[int]) -> Dat
     found = []
     for length in lengths:
         windows = least_grams(texts.select("id", *NODE, words_of(F.col("text")).alias("words")), length)
-        first = (F.col("s") % RUN_WINDOWS == 0) | (F.col("m") != F.get("least", F.col("s") - 1))
         own = prints.filter(F.col("n") == length).select("m")
-        found.append(windows.filter(first).select("id", *NODE, "s", "m").join(own, "m", "left_semi").withColumn("n", F.lit(length)))
+        runs = windows.filter(starts_run()).select("id", *NODE, "s", "m")
+        found.append(runs.join(own, "m", "left_semi").withColumn("n", F.lit(length)))
     places = reduce(DataFrame.union, found).groupBy("n", *NODE, "s").agg(F.min("id").alias("id"))
     # A list is as long as its text at most.
     return stored(places.groupBy("n", *NODE).agg(F.min("id").alias("id"), F.collect_list("s").alias("places")), "matched")
 
 
-def extended(texts: DataFrame, matched: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """A written table of the windows of items in matched texts: node, s, n, class."""
+def around(runs: DataFrame, length: int) -> DataFrame:
+    """From rows (node, words, s): the keys of the windows from s on, as far as a run may reach: node, s, n, k1, k2.
+
+    Only the words near s leave the row; a text that matches throughout would otherwise be copied for each of its runs.
+    """
+    near = runs.select(*NODE, "s", F.slice("words", F.col("s") + 1, RUN_WINDOWS + length - 1).alias("near"))
+    spread = near.select("*", F.explode(F.sequence(F.lit(0), F.size("near") - length)).alias("i"))
+    key = window_key(F.slice("near", F.col("i") + 1, length), length)
+    return spread.select(*NODE, (F.col("s") + F.col("i")).alias("s"), *key)
+
+
+def extended_in_place(texts: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
+    """Windows around the fingerprints that texts share with items, which every task holds; no text is shuffled."""
     found = []
+    for length in lengths:
+        windows = least_grams(texts.select(*NODE, words_of(F.col("text")).alias("words")), length)
+        own = F.broadcast(prints.filter(F.col("n") == length).select("m"))
+        found.append(around(windows.filter(starts_run()).join(own, "m", "left_semi"), length))
+    return reduce(DataFrame.union, found)
+
+
+def extended_by_node(texts: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same with any number of fingerprints: texts with matches are looked up again by node."""
+    matched, found = matched_runs(texts, prints, lengths), []
     for length in lengths:
         own = matched.filter(F.col("n") == length).drop("n")
         asked = own.select(*(F.col(c).alias(f"own_{c}") for c in own.columns))
         same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in [*NODE, "id"]]
         rows = texts.join(asked, reduce(Column.__and__, same))
-        rows = rows.select(*NODE, words_of(F.col("text")).alias("words"), F.col("own_places").alias("places"))
-        last = F.size("words") - length
-        around = F.transform("places", lambda s: F.sequence(s, F.least(s + RUN_WINDOWS - 1, last)))
-        spread = rows.select(*NODE, "words", F.explode(F.array_distinct(F.flatten(around))).alias("s"))
-        found.append(spread.select(*NODE, "s", *window_key(length)))
-    asked = reduce(DataFrame.union, found)
-    return stored(asked.join(windows, KEY).select(*NODE, "s", "n", *CLASS).distinct(), "hits")
+        rows = rows.select(*NODE, words_of(F.col("text")).alias("words"), "own_places")
+        found.append(around(rows.select(*NODE, "words", F.explode("own_places").alias("s")), length))
+    return reduce(DataFrame.union, found)
 
 
 def classes_of(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,8 +214,9 @@ def find_benchmark(
     if lengths:
         prints = stored(windows.select("n", "m").distinct(), "item-prints")
         classed, class_items = classes_of(windows)
-        matched = matched_runs(texts, prints, lengths)
-        hits = extended(texts, matched, classed, lengths)
+        extended = extended_in_place if prints.count() <= BROADCAST_PRINTS else extended_by_node
+        windows_of_texts = extended(texts, prints, lengths)
+        hits = stored(windows_of_texts.join(classed, KEY).select(*NODE, "s", "n", *CLASS).distinct(), "hits")
         found = stored(hit_words(hits).join(hit_items(hits, class_items), NODE), "contaminated")
         rows = rows.join(found, NODE, "left")
     else:

@@ -43,9 +43,10 @@ def run(spark, docs, items):
     return sorted(map(tuple, winnowing.find_benchmark(df, table).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_every_shared_span_is_found(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast"), [(0, 10**6), (1, 10**6), (0, 0), (2, 0)])
+def test_every_shared_span_is_found(spark, monkeypatch, seed, broadcast):
     """Few different words, so grams repeat within windows; spans from 5 to 25 words are copied from items."""
+    monkeypatch.setattr(winnowing, "BROADCAST_PRINTS", broadcast)
     chance = random.Random(seed)
     word = lambda: chance.choice("abcde") + chance.choice("xyzü")
     items = [(i, " ".join(word() for _ in range(chance.randint(1, 40)))) for i in range(12)]
