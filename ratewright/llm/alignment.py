@@ -6,6 +6,10 @@ keys are intersected as hash sets, and the sorted common ends cut both id lists
 A and one of B that end together, its links. Neither vocabulary has tokens without bytes, except control tokens that are
 never produced, so ends are distinct and a group has one link.
 
+Both end a token in front of a single space between words (A by its pattern; B because no piece has a space after another
+character, which is looked up), so texts are aligned word by word and the alignments of words are remembered. A text with a
+word that does not stand alone is aligned as a whole.
+
 A pair of ids counts as often as links of the whole table hold it. Rows write their links as packed (pair, times); pairs are
 summed over the table. Rows and sums then meet by ranges of pairs: pairs are dealt into `BINS` bins by their hash, rows into
 as many slices as keep all tasks of the session busy, and a task reads the sums of one bin and streams the rows of one
@@ -19,7 +23,8 @@ results; a null id stays null. Extra columns are ignored. An empty table gives a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -30,10 +35,29 @@ from pyspark.sql import types as T
 
 from ..session import stored
 from .tokenizers_bytes import ByteEncoder
-from .workers import once_per_worker
+from .workers import Memo, once_per_worker
 
 BINS = 8
 MARK = "▁"
+# Words whose alignment a worker remembers, and the longest of them.
+REMEMBERED = 250_000
+# Texts whose unknown words are aligned together.
+LEARN_TEXTS = 256
+LONG_PIECE = 64
+SAFE_CUT = re.compile(r"(?<=[^ ])(?= \S)")
+
+
+# Documents whose links travel in one row.
+DEALT_DOCS = 1_024
+# A pair is one unsigned number, its upper half the id of A; how often it occurs takes four bytes.
+TIMES = "<u4"
+
+
+def pair_type(pair_bytes: int) -> np.dtype:
+    """Four bytes hold the pairs of vocabularies of up to 65,536 ids, eight any."""
+    if pair_bytes not in (4, 8):
+        raise ValueError("a pair takes 4 or 8 bytes")
+    return np.dtype(f"<u{pair_bytes}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,7 +71,9 @@ def byte_alphabet() -> dict[str, int]:
 class Aligner:
     """Both tokenizers, and the bytes of their tokens."""
 
-    def __init__(self, a_path: str, b_path: str, ranks_path: str | None = None, pattern: str | None = None):
+    def __init__(
+        self, a_path: str, b_path: str, ranks_path: str | None = None, pattern: str | None = None, pair_bytes: int = 4
+    ):
         import sentencepiece
 
         self.a = ByteEncoder(a_path, ranks_path, pattern, plain=True)
@@ -62,52 +88,108 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)
         ]
         self.a_lengths, self.b_lengths = ([len(t) for t in table] for table in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = (list(map(str, range(len(table)))) for table in (self.a_bytes, self.b_bytes))
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both, or none where a tokenizer does not spell the text."""
-        if not text:
-            return [], []
-        whole = b" " + text.encode()
-        a = np.frombuffer(self.a.encode(" " + text), "<u4").tolist()
-        if b"".join([self.a_bytes[i] for i in a]) != whole:
-            return [], []
+        self.kind, self.shift = pair_type(pair_bytes), 4 * pair_bytes
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << self.shift:
+            raise ValueError("the vocabularies have more ids than half a pair holds")
+        # B cannot join tokens over a space that follows another character if no piece has one inside.
+        self.cuts = all(MARK not in p.lstrip(MARK) for p in pieces)
+        self.words = Memo(self._word, REMEMBERED)
+
+    def _groups(self, text: str) -> Groups | None:
+        """The groups of a space and the text; None where a tokenizer does not spell it."""
+        whole = " " + text
+        if self.a.fast is None:
+            a = self.a.whole.encode(whole, add_special_tokens=False).ids
+        else:
+            a = self.a.fast.encode_ordinary(whole)
         b = self.b.encode(text, num_threads=1)
-        if b"".join([self.b_bytes[i] for i in b]) != whole:
-            return [], []
-        return a, b
-
-    def align(self, a: list[int], b: list[int]) -> list[tuple[slice, slice]]:
-        """The groups, as stretches of both id lists."""
-        a_ends = {end: i for i, end in enumerate(accumulate([self.a_lengths[i] for i in a]), 1)}
-        b_ends = {end: i for i, end in enumerate(accumulate([self.b_lengths[i] for i in b]), 1)}
-        groups, i, j = [], 0, 0
-        for end in sorted(a_ends.keys() & b_ends.keys()):
-            k, n = a_ends[end], b_ends[end]
-            groups.append((slice(i, k), slice(j, n)))
+        spelled = whole.encode()
+        if b"".join([self.a_bytes[i] for i in a]) != spelled or b"".join([self.b_bytes[i] for i in b]) != spelled:
+            return None
+        a_ends = dict(zip(accumulate([self.a_lengths[i] for i in a]), range(1, len(a) + 1), strict=True))
+        b_ends = dict(zip(accumulate([self.b_lengths[i] for i in b]), range(1, len(b) + 1), strict=True))
+        ends = sorted(a_ends.keys() & b_ends.keys())
+        a_cuts, b_cuts = [a_ends[e] for e in ends], [b_ends[e] for e in ends]
+        names, other = list(map(str, a)), list(map(str, b))
+        texts, i, j = [], 0, 0
+        for k, n in zip(a_cuts, b_cuts, strict=True):
+            if k - i == 1 == n - j:
+                texts.append(f"{names[i]}|{other[j]}")
+            else:
+                texts.append(f"{','.join(names[i:k])}|{','.join(other[j:n])}")
             i, j = k, n
-        return groups
-
-    def groups_text(self, a: list[int], b: list[int], groups: list[tuple[slice, slice]]) -> str:
-        a_names, b_names = [self.a_names[i] for i in a], [self.b_names[i] for i in b]
-        return ";".join([f"{','.join(a_names[x])}|{','.join(b_names[y])}" for x, y in groups])
+        # The last tokens of a group end together.
+        last_a, last_b = np.array(a, self.kind)[np.array(a_cuts) - 1], np.array(b, self.kind)[np.array(b_cuts) - 1]
+        return ends, a_cuts, b_cuts, texts, last_a << self.kind.type(self.shift) | last_b
+
+    def _aligned(self, text: str) -> Aligned | None:
+        found = self._groups(text)
+        if found is None:
+            return None
+        ends, a_cuts, b_cuts, texts, links = found
+        return a_cuts[-1], b_cuts[-1], len(ends), ";".join(texts), links.tobytes()
+
+    def learn(self, texts: Iterable[str | None]) -> None:
+        """Aligns the unknown words of some texts as one text, which is cheaper than one by one."""
+        if not self.cuts:
+            return
+        words = set().union(*(t.split(" ") for t in texts if t))
+        unknown = [w for w in words if w and not self.words.known(w) and len(w) <= LONG_PIECE and not w[0].isspace()]
+        found = self._groups(" ".join(unknown)) if unknown else None
+        if found is None:  # a word is not spelled: each will be aligned on its own
+            return
+        ends, a_cuts, b_cuts, groups, links = found
+        place = {end: i for i, end in enumerate(ends, 1)}
+        at, i = 0, 0
+        for word in unknown:
+            at += len(word.encode()) + 1
+            k = place[at]
+            n_a, n_b = a_cuts[k - 1] - (a_cuts[i - 1] if i else 0), b_cuts[k - 1] - (b_cuts[i - 1] if i else 0)
+            self.words.keep(word, (n_a, n_b, k - i, ";".join(groups[i:k]), links[i:k].tobytes()))
+            i = k
+
+    def _word(self, word: str) -> Aligned:
+        if not word or word[0].isspace():
+            raise _NotAlone
+        found = self._aligned(word)
+        if found is None:
+            raise _NotAlone
+        return found
+
+    def parts(self, text: str | None) -> list[Aligned]:
+        """The alignments of a text's words, or that of the whole text; none where a tokenizer does not spell it."""
+        if not text:
+            return []
+        if self.cuts:
+            try:
+                return [self.words[w] if len(w) <= LONG_PIECE else self._word(w) for w in text.split(" ")]
+            except _NotAlone:
+                pass
+            try:
+                # The first stretch may begin with white space; the others begin with a space and another character.
+                first, *rest = SAFE_CUT.split(text)
+                own = self._aligned(first)
+                if own is not None:
+                    return [own, *(self.words[w[1:]] if len(w) <= LONG_PIECE else self._word(w[1:]) for w in rest)]
+            except _NotAlone:
+                pass
+        own = self._aligned(text)
+        return [] if own is None else [own]
 
 
-def aligner(a_path: str, b_path: str, ranks_path: str | None, pattern: str | None) -> Aligner:
-    return once_per_worker(("aligner", a_path, b_path, ranks_path), lambda: Aligner(a_path, b_path, ranks_path, pattern))
+# n_a, n_b, groups, their text, and the packed pairs of their links.
+Aligned = tuple[int, int, int, str, bytes]
+# Common ends, tokens of A and of B up to each, the texts of the groups, and the pairs of their links.
+Groups = tuple[list[int], list[int], list[int], list[str], np.ndarray]
 
 
-# Documents whose links travel in one row.
-DEALT_DOCS = 1_024
-# A pair is one unsigned number, its upper half the id of A; how often it occurs takes four bytes.
-TIMES = "<u4"
+class _NotAlone(Exception):
+    """A word that cannot be aligned on its own."""
 
 
-def pair_type(pair_bytes: int) -> np.dtype:
-    """Four bytes hold the pairs of vocabularies of up to 65,536 ids, eight any."""
-    if pair_bytes not in (4, 8):
-        raise ValueError("a pair takes 4 or 8 bytes")
-    return np.dtype(f"<u{pair_bytes}")
+def aligner(a_path: str, b_path: str, ranks_path: str | None, pattern: str | None, pair_bytes: int) -> Aligner:
+    name = ("aligner", a_path, b_path, ranks_path, pair_bytes)
+    return once_per_worker(name, lambda: Aligner(a_path, b_path, ranks_path, pattern, pair_bytes))
 
 
 ALIGNED = T.StructType(
@@ -118,25 +200,21 @@ ALIGNED = T.StructType(
 
 def aligned_rows(docs: DataFrame, key: str, text: str, paths: tuple, kind: np.dtype) -> DataFrame:
     """A written table: row, key, counts, the digest of the groups, and the packed links."""
-    shift = np.uint64(4 * kind.itemsize)
 
     @F.pandas_udf(ALIGNED)
     def align(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = aligner(*paths)
-        if max(len(own.a_bytes), len(own.b_bytes)) > 1 << int(shift):
-            raise ValueError("the vocabularies have more ids than half a pair holds")
+        own = aligner(*paths, kind.itemsize)
         for batch in texts:
             found = []
-            for text_ in batch:
-                a, b = own.encode(text_)
-                groups = own.align(a, b)
-                digest = hashlib.sha256(own.groups_text(a, b, groups).encode()).hexdigest() if a else ""
-                # The last tokens of a group end together.
-                last_a = np.array([a[x.stop - 1] for x, _ in groups], np.uint64)
-                last_b = np.array([b[y.stop - 1] for _, y in groups], np.uint64)
-                pairs, times = np.unique(last_a << shift | last_b, return_counts=True)
-                packed = pairs.astype(kind).tobytes(), times.astype(TIMES).tobytes()
-                found.append((len(a), len(b), len(groups), len(groups), digest, *packed))
+            for i, text_ in enumerate(batch):
+                if i % LEARN_TEXTS == 0:
+                    own.learn(batch.iloc[i : i + LEARN_TEXTS])
+                parts = own.parts(text_)
+                n_a, n_b, n_groups, groups, links = zip(*parts, strict=True) if parts else [()] * 5
+                digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if parts else ""
+                pairs, times = np.unique(np.frombuffer(b"".join(links), kind), return_counts=True)
+                packed = pairs.tobytes(), times.astype(TIMES).tobytes()
+                found.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_groups), digest, *packed))
             yield pd.DataFrame(found, columns=ALIGNED.names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), align(F.col(text)).alias("x"))
