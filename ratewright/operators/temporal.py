@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
@@ -87,8 +87,8 @@ def split_bounds(df: DataFrame, date: datetime | Column, column: str = N.TIMESTA
     )
 
 
-def checked_parts(df: DataFrame, date: datetime, column: str = N.TIMESTAMP) -> tuple[DataFrame, DataFrame]:
-    """`temporal_parts` after one pass that proves both parts non-empty and strictly ordered in time."""
+def checked_bounds(df: DataFrame, date: datetime, column: str = N.TIMESTAMP) -> Row:
+    """The line of `split_bounds`, after both parts have proved non-empty and strictly ordered in time."""
     bounds = split_bounds(df, date, column).first()
     if not bounds.n_train:
         raise ValueError(f"no rows up to {date}")
@@ -96,4 +96,10 @@ def checked_parts(df: DataFrame, date: datetime, column: str = N.TIMESTAMP) -> t
         raise ValueError(f"no rows after {date}")
     if bounds.min_val <= bounds.max_train:
         raise ValueError(f"validation starts at {bounds.min_val}, not after the last train time {bounds.max_train}")
+    return bounds
+
+
+def checked_parts(df: DataFrame, date: datetime, column: str = N.TIMESTAMP) -> tuple[DataFrame, DataFrame]:
+    """`temporal_parts` after one pass that proves both parts non-empty and strictly ordered in time."""
+    checked_bounds(df, date, column)
     return temporal_parts(df, date, column)

@@ -20,6 +20,8 @@ PART, EARLY, LATE = "part", "train", "validation"
 
 # Early rows that the trees are grown on, at most about so many.
 FIT_ROWS = 1_000_000
+PLACE = "place"
+ROWS_PER_PARTITION = 50_000
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,23 @@ def fitted_share(early_rows: int, fit_rows: int) -> Column:
     return F.pmod(F.xxhash64(*N.PAIR, N.TIMESTAMP), F.lit(early_rows)) < fit_rows
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """`rows` with a number that follows from the values of all columns but arrays, maps and structs."""
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in {"array", "map", "struct", "udt"}]
+    return rows.withColumn(PLACE, F.xxhash64(*sorted(plain)))
+
+
+def in_fixed_order(rows: DataFrame, n: int) -> DataFrame:
+    """The same rows in the same partitions and order in every run, whatever the cores and the order of arrival.
+
+    The learner draws its bags and its candidate splits by partition and position, so a seed alone does not fix them. Rows
+    are dealt by their `place` into partitions whose number depends on the `n` rows only, and sorted there. Rows of one
+    place are equal but for a collision of hashes.
+    """
+    partitions = max(1, -(-n // ROWS_PER_PARTITION))
+    return rows.repartition(partitions, PLACE).sortWithinPartitions(PLACE, *N.PAIR, N.RATING)
+
+
 def train(
     spark: SparkSession,
     folder: str,
@@ -71,23 +90,26 @@ def train(
 
     Aggregates come from all rows of the early part and of no other. The trees are grown on about `fit_rows` of its rows
     at most, since MLlib keeps a number for every feature of every fitted row; validation and scoring use all rows. The
-    assembled inputs are written before the fit, which reads them many times over.
+    assembled inputs are written before the fit, which reads them many times over. With one seed and the same rows two
+    runs fit the same trees.
     """
     rows, books = read_features(spark, folder)
     known = rows.filter(F.col(N.SOURCE) == N.TRAIN)
     date = temporal.split_date(known, ratio).first().split_date
     if date is None:
         raise ValueError("the split date falls among rows without a time")
-    early, _ = temporal.checked_parts(known, date)
+    n_early = temporal.checked_bounds(known, date).n_train
+    early, _ = temporal.temporal_parts(known, date)
 
     heavy = heavy_keys(known)
     rows = leakfree_rows(known, time_literal(date), heavy)
-    fitted_on = rows.filter((F.col(PART) == LATE) | fitted_share(early.count(), fit_rows))
-    inputs = attach_vectors(fitted_on, books, heavy)
-    assembler = matrix.fit_assembler(inputs, early)
-    assembled = assembler.transform(inputs).select(*N.PAIR, N.RATING, PART, matrix.FEATURES)
+    fitted_on = rows.filter((F.col(PART) == LATE) | fitted_share(n_early, fit_rows))
+    inputs = attach_vectors(with_place(fitted_on), books, heavy)
+    assembler = matrix.fit_assembler(inputs.drop(PLACE), early)
+    assembled = assembler.transform(inputs).select(*N.PAIR, N.RATING, PART, PLACE, matrix.FEATURES)
     both = stored(assembled, "learner-input", [PART])
     ready = {name: both.filter(F.col(PART) == name) for name in (EARLY, LATE)}
+    ready[EARLY] = in_fixed_order(ready[EARLY], min(n_early, fit_rows))
 
     fitted = boosting.fit_boosting(ready[EARLY], ready[LATE], settings or boosting.BoostingSettings())
     errors = metrics.regression_metrics(fitted.model.transform(ready[LATE])).first()

@@ -14,6 +14,7 @@ from ratewright.session import fresh_path, shared_folder, stored
 from ratewright.sources import append_embeddings, load_table, read_embeddings, read_features, save_table, scan, scan_raw_folder, versioned, write_submission
 
 FOLDER = "/root/testdata/sf0.001"
+training = import_module("ratewright.plans.train")
 SETTINGS = boosting.BoostingSettings(max_rounds=6, patience=2, first_rounds=3, step_size=0.1, max_depth=3)
 
 
@@ -51,6 +52,20 @@ def test_training_and_prediction(spark, prepared):
     assert got == pytest.approx({(r.user_id, r.book_id): r.rating_predict for r in again.collect()})
 
 
+def test_fixed_order_depends_on_the_rows_alone(spark):
+    """Rows that arrive in another order, in other partitions and with ties come out alike."""
+    rows = spark.range(5_000).select(
+        (F.col("id") % 50).alias(N.USER), (F.col("id") % 7).alias(N.BOOK), (F.col("id") % 11).cast("double").alias(N.RATING)
+    )
+    layouts = []
+    for partitions, seed in ((1, 1), (8, 2), (40, 3)):
+        mixed = rows.repartition(partitions, F.rand(seed)).orderBy(F.rand(seed))
+        fixed = training.in_fixed_order(training.with_place(mixed), 120_000)
+        layouts.append([tuple(r) for r in fixed.withColumn("partition", F.spark_partition_id()).collect()])
+    assert layouts[0] == layouts[1] == layouts[2]
+    assert len({row[-1] for row in layouts[0]}) == 3
+
+
 def test_shorter_fit_is_the_start_of_a_longer_one(spark):
     data = stored(
         spark.range(400).select(
