@@ -1,7 +1,7 @@
 """Column expressions."""
 
 from .arrays import masked_mean, zero_vector
-from .scalars import clip_rating, in_rating_range, malformed_number, nan_to_null, parse_time, strict_double, time_literal
+from .scalars import clip_rating, in_rating_range, malformed_number, nan_to_null, number, parse_time, strict_double, time_literal
 from .text import terms, tokens
 
 __all__ = [
@@ -10,6 +10,7 @@ __all__ = [
     "malformed_number",
     "masked_mean",
     "nan_to_null",
+    "number",
     "parse_time",
     "strict_double",
     "terms",

@@ -27,18 +27,19 @@ def nan_to_null(value: Column) -> Column:
 NUMBER = r"^[\s]*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(?i:inf|infinity|nan))[\s]*$"
 
 
-def _number(value: Column) -> Column:
+def number(value: Column) -> Column:
+    """A text or numeric column as double; missing where it is no number."""
     return F.when(value.cast("string").rlike(NUMBER), value.try_cast("double"))
 
 
 def strict_double(value: Column) -> Column:
     """A text or numeric column as double; malformed text and NaN become missing."""
-    return nan_to_null(_number(value))
+    return nan_to_null(number(value))
 
 
 def malformed_number(value: Column) -> Column:
     """True for a value that is present but is no number."""
-    return value.isNotNull() & _number(value).isNull()
+    return value.isNotNull() & number(value).isNull()
 
 
 def time_literal(value: datetime) -> Column:

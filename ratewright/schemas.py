@@ -41,3 +41,9 @@ TABLES: dict[str, T.StructType] = {
 
 # Tables whose text columns may hold quotes and line breaks inside quotes.
 QUOTED_TEXT = {"books", "book_descriptions"}
+
+# Texts that stand for a missing value in an input file.
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]

@@ -1,3 +1,5 @@
+import csv
+import random
 from dataclasses import replace
 from importlib import import_module
 
@@ -10,6 +12,7 @@ from catalog.fixtures import Fixtures
 from ratewright import names as N
 from ratewright.operators import boosting, matrix
 from ratewright.plans import predict, train
+from ratewright.schemas import NULL_TOKENS
 from ratewright.session import fresh_path, shared_folder, stored
 from ratewright.sources import append_embeddings, load_table, read_embeddings, read_features, save_table, scan, scan_raw_folder, versioned, write_submission
 
@@ -135,13 +138,48 @@ def test_scan_reports_missing_columns_and_malformed_numbers(spark, tmp_path):
         scan(spark, "test", str(path))
     path = tmp_path / "users.csv"
     path.write_text("user_id,gender,age\n1,2,old\n")
-    with pytest.raises(Exception, match="(?i)malformed"):
+    with pytest.raises(Exception, match="column age, .*users.csv, block 0, row 0: not double: old"):
+        scan(spark, "users", str(path)).collect()
+    path.write_text("user_id,gender,age\n7x,2,1\n")
+    with pytest.raises(Exception, match="column user_id.* not int: 7x"):
         scan(spark, "users", str(path)).collect()
     path = tmp_path / "submission.csv"
     path.write_text("user_id,book_id,rating_predict\n1,2,high\n")
     assert scan(spark, "submission", str(path)).first().rating_predict == "high"
 
 
+def test_null_tokens_are_missing_in_numbers_and_texts(spark, tmp_path):
+    path = tmp_path / "users.csv"
+    path.write_text("user_id,gender,age\n" + "".join(f'{i},{t},"{t}"\n' for i, t in enumerate(NULL_TOKENS)) + "99,nano,7\n")
+    *missing, last = scan(spark, "users", str(path)).orderBy("user_id").collect()
+    assert len(missing) == len(NULL_TOKENS) and all(r.gender is None and r.age is None for r in missing)
+    assert (last.gender, last.age) == ("nano", 7.0)
+    own = scan(spark, "users", str(path), null_tokens={"gender": ["nano", ""], "age": NULL_TOKENS}).orderBy("user_id").collect()
+    assert own[-1].gender is None and own[NULL_TOKENS.index("NA")].gender == "NA"
+
+
+def test_quoted_files_are_cut_at_record_ends(spark, tmp_path):
+    """Texts with line breaks, doubled quotes, separators and blank lines, in files of many blocks each."""
+    chance = random.Random(4)
+    texts = ["".join(chance.choice(['a', 'é', '"', "\n", ",", "\n\n", "\r\n", " ", 'x"y'])for _ in range(chance.randint(1, 90))) for _ in range(1_500)]
+    texts = [t if t.strip() and t not in NULL_TOKENS else "plain" for t in texts]
+    for k in range(2):
+        with open(tmp_path / f"part{k}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if k else "\n")
+            writer.writerow(["book_id", "description"])
+            writer.writerows((i, t) for i, t in enumerate(texts) if i % 2 == k)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        rows = scan(spark, "book_descriptions", str(tmp_path)).orderBy(N.ROW_ORDER).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.book_id: r.description for r in rows} == dict(enumerate(texts))
+    places = [r.book_id for r in rows]
+    assert places == [i for i in range(1_500) if i % 2 == places[0] % 2] + [i for i in range(1_500) if i % 2 != places[0] % 2]
+
+
 def test_row_order_follows_the_file(spark, tmp_path):
     path = tmp_path / "descriptions.csv"
     path.write_text("book_id,description\n" + "".join(f"{i % 5},text {i}\n" for i in range(500)))
