@@ -353,6 +353,36 @@ _SQL: dict[str, str] = {
     "scan_csv_roundtrip": """
         SELECT CAST(user_id AS INT) AS user_id, CAST(book_id AS INT) AS book_id, has_read, rating, "timestamp"
         FROM train_raw""",
+    "scan_test_roundtrip": "SELECT CAST(user_id AS INT) AS user_id, CAST(book_id AS INT) AS book_id FROM solution",
+    "scan_users_roundtrip": "SELECT CAST(user_id AS INT) AS user_id, gender, age FROM users",
+    "scan_book_genres_roundtrip": """
+        SELECT CAST(book_id AS INT) AS book_id, CAST(genre_id AS SMALLINT) AS genre_id FROM book_genres""",
+    "scan_genres_roundtrip": """
+        SELECT genre_id, 'genre_' || genre_id AS genre_name, COUNT(DISTINCT book_id) AS books_count
+        FROM book_genres GROUP BY genre_id""",
+    "scan_solution_roundtrip": """
+        SELECT CAST(user_id AS INT) AS user_id, CAST(book_id AS INT) AS book_id, CAST(rating AS DOUBLE) AS rating, stage
+        FROM solution""",
+    "validation_examples": """
+        SELECT * FROM (WITH given AS (SELECT user_id, book_id, COUNT(*) AS n FROM broken_submission GROUP BY ALL),
+        lost AS (SELECT * FROM solution t WHERE NOT EXISTS (
+            SELECT 1 FROM given s WHERE s.user_id = t.user_id AND s.book_id = t.book_id)),
+        flagged AS (
+            SELECT 'submission' AS input, 'no_duplicates' AS "check", NULL AS stage, user_id, book_id, n - 1 AS bad
+            FROM given WHERE n > 1
+            UNION ALL SELECT 'submission', 'no_missing_pairs', NULL, user_id, book_id, 1 FROM lost
+            UNION ALL SELECT 'submission', 'lost', stage, user_id, book_id, 1 FROM lost
+            UNION ALL SELECT 'submission', 'no_extra_pairs', NULL, user_id, book_id, 1 FROM given s
+            WHERE NOT EXISTS (SELECT 1 FROM solution t WHERE s.user_id = t.user_id AND s.book_id = t.book_id)
+            UNION ALL SELECT 'solution', 'no_duplicates', NULL, user_id, book_id, COUNT(*) - 1 FROM broken_solution
+            GROUP BY user_id, book_id HAVING COUNT(*) > 1
+            UNION ALL SELECT 'solution', 'in_range', NULL, user_id, book_id, COUNT(*) FROM broken_solution
+            WHERE TRY_CAST(rating AS DOUBLE) < 0 OR TRY_CAST(rating AS DOUBLE) > 10 GROUP BY user_id, book_id
+        )
+        SELECT input, "check", stage, CAST(bad_rows AS BIGINT) AS bad_rows, CAST(place AS INT) AS place, user_id, book_id
+        FROM (SELECT *, SUM(bad) OVER (PARTITION BY input, "check", stage) AS bad_rows,
+                     ROW_NUMBER() OVER (PARTITION BY input, "check", stage ORDER BY user_id, book_id) AS place
+              FROM flagged) WHERE place <= 5)""",
     "scan_books_roundtrip": """
         SELECT CAST(book_id AS INT) AS book_id, title, author_id, author_name, publication_year, language, publisher,
                avg_rating FROM books""",

@@ -504,6 +504,13 @@ def lost_pair_examples(x: Fixtures) -> DataFrame:
     return by_stage[0].unionByName(by_stage[1])
 
 
+@query
+def validation_examples(x: Fixtures) -> DataFrame:
+    """Up to five pairs per failed check, and per stage where predictions are missing."""
+    found = checks.submission_examples(_broken_submission(x), x.solution).withColumn("input", F.lit("submission"))
+    return found.unionByName(checks.solution_examples(_broken_solution(x)).withColumn("input", F.lit("solution")))
+
+
 @query
 def repeated_pairs(x: Fixtures) -> DataFrame:
     return checks.repeated_pairs(_broken_submission(x))

@@ -16,6 +16,7 @@ from ratewright.operators import boosting, lookups, matrix, metrics, temporal, t
 from ratewright.operators.skew import find_heavy
 from ratewright.plans import predict, prepare, train
 from ratewright.plans.prepare import TextSettings
+from ratewright.schemas import NULL_TOKENS
 from ratewright.session import fresh_path, stored
 from ratewright.sources import (
     append_embeddings,
@@ -91,6 +92,44 @@ def scan_csv_roundtrip(x: Fixtures) -> DataFrame:
     return scan(x.spark, "train", path)
 
 
+def _with_null_tokens(df: DataFrame) -> DataFrame:
+    """All columns as text, missing values written as one or another of the tokens that stand for them."""
+    choice = F.pmod(F.xxhash64(*df.columns), F.lit(len(NULL_TOKENS))).cast("int")
+    token = F.get(F.array(*map(F.lit, NULL_TOKENS)), choice)
+    return df.select(*[F.coalesce(F.col(c).cast("string"), token).alias(c) for c in df.columns])
+
+
+def _scanned(x: Fixtures, table: str, df: DataFrame) -> DataFrame:
+    path = fresh_path(x.spark, f"{table}-csv")
+    _write_csv(_with_null_tokens(df), path)
+    return scan(x.spark, table, path)
+
+
+@workflow
+def scan_test_roundtrip(x: Fixtures) -> DataFrame:
+    return _scanned(x, "test", x.test)
+
+
+@workflow
+def scan_users_roundtrip(x: Fixtures) -> DataFrame:
+    return _scanned(x, "users", x.users)
+
+
+@workflow
+def scan_book_genres_roundtrip(x: Fixtures) -> DataFrame:
+    return _scanned(x, "book_genres", x.book_genres)
+
+
+@workflow
+def scan_genres_roundtrip(x: Fixtures) -> DataFrame:
+    return _scanned(x, "genres", x.genres)
+
+
+@workflow
+def scan_solution_roundtrip(x: Fixtures) -> DataFrame:
+    return _scanned(x, "solution", x.solution).withColumn(N.RATING, strict_double(F.col(N.RATING)))
+
+
 @workflow
 def scan_books_roundtrip(x: Fixtures) -> DataFrame:
     path = fresh_path(x.spark, "books-csv")

@@ -7,7 +7,7 @@ missing and extra pairs as well as the tallies of bad values, without joins and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
@@ -214,8 +214,72 @@ def _misplaced(submission: DataFrame, test: DataFrame, order: str) -> DataFrame:
     return both.agg(F.count_if(~F.col("ours").eqNullSafe(F.col("theirs"))).alias("misplaced"))
 
 
-def raise_first(report: DataFrame) -> None:
-    """Raise for the first failed check of a report, which has one line per check."""
+def _first_examples(flagged: DataFrame, n: int) -> DataFrame:
+    """From rows (check, stage, user, book, bad): the bad rows of each check and stage, and its first pairs.
+
+    The ranked window keeps `n` rows per group in every partition before the shuffle, so no group meets in one task.
+    """
+    group = ["check", "stage"]
+    totals = flagged.groupBy(*group).agg(F.sum("bad").alias("bad_rows"))
+    totals = totals.select("bad_rows", *[F.col(c).alias(f"of_{c}") for c in group])
+    first = Window.partitionBy(*group).orderBy(*N.PAIR)
+    ranked = flagged.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= n)
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group]
+    return ranked.join(totals, same[0] & same[1]).select(*group, "bad_rows", "place", *N.PAIR)
+
+
+def _flagged(pairs: DataFrame, checks: list[tuple[str, str | None, Column]]) -> DataFrame:
+    entries = [
+        F.struct(F.lit(name).alias("check"), F.lit(stage).cast("string").alias("stage"), bad.cast("bigint").alias("bad"))
+        for name, stage, bad in checks
+    ]
+    return pairs.select(*N.PAIR, F.inline(F.array(*entries))).filter(F.col("bad") > 0)
+
+
+def submission_examples(submission: DataFrame, solution: DataFrame, n: int = EXAMPLES) -> DataFrame:
+    """The first pairs that fail each check of a submission, with the number of rows that fail it. Solution rows without a
+    prediction (`lost`) are told apart by stage. `(check, stage, bad_rows, place, user_id, book_id)`."""
+    one, stage = F.lit(1), F.col(N.STAGE)
+    pairs = _per_pair(
+        _tally(submission, n_submission=one),
+        _tally(solution, n_solution=one, public=_flag(stage == N.PUBLIC), private=_flag(stage == N.PRIVATE)),
+    )
+    given, expected = F.col("n_submission"), F.col("n_solution")
+    checks = [
+        ("no_duplicates", None, _repeats(given)),
+        ("no_missing_pairs", None, _flag(given == 0)),
+        ("no_extra_pairs", None, _flag(expected == 0)),
+        *[("lost", name, F.when(given == 0, F.col(name))) for name in (N.PUBLIC, N.PRIVATE)],
+    ]
+    return _first_examples(_flagged(pairs, checks), n)
+
+
+def solution_examples(solution: DataFrame, n: int = EXAMPLES) -> DataFrame:
+    """The same for the checks of a solution that name pairs: repeated ones and ratings outside the range."""
+    number = strict_double(F.col(N.RATING))
+    pairs = _per_pair(
+        _tally(solution, n=F.lit(1), outside=_flag((number < N.RATING_MIN) | (number > N.RATING_MAX)))
+    )
+    checks = [("no_duplicates", None, _repeats(F.col("n"))), ("in_range", None, F.col("outside"))]
+    return _first_examples(_flagged(pairs, checks), n)
+
+
+def raise_first(report: DataFrame, found: DataFrame | None = None) -> None:
+    """Raise for the first failed check of a report, which has one line per check; with its examples, if `found` has some."""
     failed = report.filter(~F.col("passed")).orderBy("check_no").first()
-    if failed:
-        raise ValueError(f"check '{failed.check}' failed: {failed.bad_rows} bad")
+    if not failed:
+        return
+    shown = ""
+    if found is not None:
+        rows = found.filter(F.col("check") == failed.check).orderBy("stage", "place").collect()
+        shown = f", for example {[(r[N.USER], r[N.BOOK]) for r in rows]}" if rows else ""
+    raise ValueError(f"check '{failed.check}' failed: {failed.bad_rows} bad{shown}")
+
+
+def raise_lost(found: DataFrame) -> None:
+    """Raise if solution rows have no prediction, with the number and the first pairs of each stage."""
+    lost = found.filter(F.col("check") == "lost").orderBy("stage", "place").collect()
+    if lost:
+        totals = {r.stage: r.bad_rows for r in lost}
+        shown = {s: [(r[N.USER], r[N.BOOK]) for r in lost if r.stage == s] for s in totals}
+        raise ValueError(f"pairs without a prediction: {totals}, for example {shown}")

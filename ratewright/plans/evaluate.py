@@ -12,13 +12,12 @@ from ..operators import checks, metrics
 
 def evaluate(submission: DataFrame, solution: DataFrame) -> DataFrame:
     """Scores per stage; raises for the first failed check of the solution, the submission, or their join."""
-    checks.raise_first(checks.validate_solution(solution))
-    checks.raise_first(checks.validate_submission(submission, solution))
+    checks.raise_first(checks.validate_solution(solution), checks.solution_examples(solution))
+    found = checks.submission_examples(submission, solution)
+    checks.raise_first(checks.validate_submission(submission, solution), found)
     predicted = submission.withColumn(N.PREDICTION, strict_double(F.col(N.PREDICTION)))
     truth = solution.withColumn(N.RATING, strict_double(F.col(N.RATING)))
-    lost = checks.examples(checks.lost_pairs(predicted, truth), [N.STAGE, *N.PAIR]).collect()
-    if lost:
-        raise ValueError(f"pairs without a prediction, for example {[tuple(r) for r in lost]}")
+    checks.raise_lost(found)
     return metrics.score_by_stage(predicted, truth)
 
 

@@ -154,3 +154,28 @@ def test_baseline_falls_back_to_the_global_mean(spark):
     pairs = spark.createDataFrame([(5, 10), (6, 99)], "user_id INT, book_id INT")
     got = {r.book_id: r.rating_predict for r in metrics.mean_baseline(pairs, train, {}).collect()}
     assert got == {10: 6.0, 99: 7.0}
+
+
+def test_failures_come_with_their_count_and_first_pairs(spark):
+    solution = spark.createDataFrame(
+        [(u, 1, 5.0, "public" if u % 2 else "private") for u in range(40)], "user_id INT, book_id INT, rating DOUBLE, stage STRING"
+    )
+    submission = solution.filter("user_id >= 16").selectExpr("user_id", "book_id", "'5' AS rating_predict")
+    extra = spark.createDataFrame([(u, 9, "5") for u in range(16)], submission.schema)
+    found = checks.submission_examples(submission.unionByName(extra), solution)
+    shown = {}
+    for r in found.orderBy("place").collect():
+        shown.setdefault((r.check, r.stage, r.bad_rows), []).append((r.user_id, r.book_id))
+    assert shown == {
+        ("no_missing_pairs", None, 16): [(u, 1) for u in range(5)],
+        ("no_extra_pairs", None, 16): [(u, 9) for u in range(5)],
+        ("lost", "public", 8): [(u, 1) for u in (1, 3, 5, 7, 9)],
+        ("lost", "private", 8): [(u, 1) for u in (0, 2, 4, 6, 8)],
+    }
+    with pytest.raises(ValueError, match=r"'no_missing_pairs' failed: 16 bad, for example \[\(0, 1\), \(1, 1\)"):
+        evaluate(submission.unionByName(extra), solution)
+    twice = solution.unionByName(solution.filter("user_id < 3"))
+    with pytest.raises(ValueError, match=r"'no_duplicates' failed: 3 bad, for example \[\(0, 1\), \(1, 1\), \(2, 1\)\]"):
+        evaluate(submission, twice)
+    with pytest.raises(ValueError, match="pairs without a prediction: .*'private': 8"):
+        checks.raise_lost(found)

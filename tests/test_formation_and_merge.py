@@ -151,3 +151,13 @@ def test_aggregates_skip_missing_keys_and_leave_unknown_rows_empty(spark):
     ]
     genres = spark.createDataFrame([(1, 5), (1, 5), (1, None), (2, None)], "book_id INT, genre_id INT")
     assert rows(aggregates.genre_counts(genres)) == [(1, 2), (2, 0)]
+
+
+def test_one_row_per_key_sorts_no_other_columns(spark, capsys):
+    rows = [(k, i, f"text {i}") for i, k in enumerate([1, 1, 2, None, None, 3, 1, 2])]
+    df = spark.createDataFrame(rows, "book_id INT, row_order BIGINT, description STRING")
+    first, last = keys.keep_first(df, ["book_id"]), keys.keep_last(df, ["book_id"])
+    assert sorted(r.row_order for r in first.collect()) == [0, 2, 3, 5]
+    assert sorted(r.row_order for r in last.collect()) == [4, 5, 6, 7]
+    last.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
