@@ -375,8 +375,9 @@ def feature_matrix(x: Fixtures) -> DataFrame:
 @query
 def categorical_index(x: Fixtures) -> DataFrame:
     rows = _merged(x).select(N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP, *N.TEXT_CATEGORIES)
-    filled = rows.fillna(N.MISSING_TEXT, N.TEXT_CATEGORIES)
-    indexed = matrix.fit_category_index(filled).transform(filled)
+    filled = stored(rows.fillna(N.MISSING_TEXT, N.TEXT_CATEGORIES), "categories")
+    heavy = find_heavy(filled, N.TEXT_CATEGORIES)
+    indexed = matrix.index_categories(filled, matrix.category_levels(filled), heavy)
     return indexed.select(
         N.USER, N.BOOK, N.SOURCE, N.TIMESTAMP,
         *[F.col(matrix.index_name(c)).cast("bigint").alias(matrix.index_name(c)) for c in N.TEXT_CATEGORIES],

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from collections.abc import Sequence
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
+from ..session import stored
+from .skew import HeavyKeys, salted_join
 
 FEATURES = "features"
 
@@ -31,19 +34,42 @@ def feature_matrix(rows: DataFrame) -> DataFrame:
     return rows.select(*feature_columns(rows))
 
 
-def fit_category_index(rows: DataFrame, columns: list[str] | None = None) -> StringIndexerModel:
-    """Number the levels of the text categories alphabetically; a level not seen here gets the next number.
+def category_levels(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A written table of the levels of the text categories, numbered from 0 in alphabetical order per column:
+    `(column, level, number)`.
 
-    The levels of all columns come to the driver. They are codes of metadata (gender, language, publisher), whose number
-    does not grow with the interactions.
+    Levels are ranged by column and level into sorted partitions; a level's number is its place in its partition plus the
+    levels of its column in the partitions before. The driver sees no level, so there may be any number of them.
     """
-    columns = columns or [c for c in N.TEXT_CATEGORIES if c in rows.columns]
-    return StringIndexer(
-        inputCols=columns,
-        outputCols=[index_name(c) for c in columns],
-        handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    ).fit(rows)
+    columns = list(columns or [c for c in N.TEXT_CATEGORIES if c in rows.columns])
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("level")) for c in columns]
+    found = rows.select(F.inline(F.array(*entries))).filter(F.col("level").isNotNull()).distinct()
+    ranged = found.repartitionByRange("column", "level").sortWithinPartitions("column", "level")
+    # After the sort, the lower bits of this id count the rows of a partition in order.
+    placed = ranged.withColumn("part", F.spark_partition_id()).withColumn(
+        "place", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    )
+    placed = stored(placed, "levels")
+    runs = placed.groupBy("column", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    offsets = runs.select("column", "part", offset.alias("offset"))
+    numbered = placed.join(offsets, ["column", "part"]).withColumn("number", F.col("place") + F.col("offset"))
+    return stored(numbered.select("column", "level", "number"), "level-numbers")
+
+
+def index_categories(
+    rows: DataFrame, levels: DataFrame, heavy: HeavyKeys, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """`rows` with the number of each category's level as `<column>_index`; a missing level and one that `levels` does not
+    have get the number of levels. Frequent levels are split by `heavy`, which counts the same columns."""
+    for column in columns or [c for c in N.TEXT_CATEGORIES if c in rows.columns]:
+        own = levels.filter(F.col("column") == column)
+        numbers = own.select(F.col("level").alias(column), F.col("number").alias(index_name(column)))
+        joined = salted_join(rows, numbers, column, "left", N.PAIR, heavy=heavy)
+        index = F.coalesce(index_name(column), own.agg(F.count("*")).scalar())
+        rows = joined.withColumn(index_name(column), index.cast("double"))
+    return rows
 
 
 def vectors_ready(rows: DataFrame) -> DataFrame:
@@ -53,12 +79,10 @@ def vectors_ready(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def fit_assembler(rows: DataFrame, levels_from: DataFrame | None = None) -> PipelineModel:
-    """Category index and vector assembly as one saved pipeline, so that scoring uses the columns of training.
+def assembler(columns: Sequence[str]) -> VectorAssembler:
+    """Vector assembly of feature columns whose categories are indexed.
 
     An index becomes a plain number here: naming it a category would tie the learner's bins to the number of publishers.
-    The levels are read from `levels_from`, a stored table with the same categories, where `rows` is a long plan.
     """
-    indexer = fit_category_index(rows if levels_from is None else levels_from)
-    inputs = [index_name(c) if c in N.TEXT_CATEGORIES else c for c in feature_columns(rows)]
-    return PipelineModel([indexer, VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")])
+    inputs = [index_name(c) if c in N.TEXT_CATEGORIES else c for c in columns]
+    return VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")

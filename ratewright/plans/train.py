@@ -34,7 +34,7 @@ class TrainingReport:
 
 
 def heavy_keys(rows: DataFrame) -> HeavyKeys:
-    return find_heavy(rows, [N.USER, N.BOOK, N.AUTHOR])
+    return find_heavy(rows, [N.USER, N.BOOK, N.AUTHOR, *[c for c in N.TEXT_CATEGORIES if c in rows.columns]])
 
 
 def leakfree_rows(known: DataFrame, cut: Column, heavy: HeavyKeys) -> DataFrame:
@@ -86,7 +86,8 @@ def train(
     ratio: float = N.SPLIT_RATIO,
     fit_rows: int = FIT_ROWS,
 ) -> TrainingReport:
-    """Split by time, fit with early stopping on the later part, store the model, and report the validation errors.
+    """Split by time, fit with early stopping on the later part, store the model with the numbers of its categories, and
+    report the validation errors.
 
     Aggregates come from all rows of the early part and of no other. The trees are grown on about `fit_rows` of its rows
     at most, since MLlib keeps a number for every feature of every fitted row; validation and scoring use all rows. The
@@ -105,13 +106,16 @@ def train(
     rows = leakfree_rows(known, time_literal(date), heavy)
     fitted_on = rows.filter((F.col(PART) == LATE) | fitted_share(n_early, fit_rows))
     inputs = attach_vectors(with_place(fitted_on), books, heavy)
-    assembler = matrix.fit_assembler(inputs.drop(PLACE), early)
-    assembled = assembler.transform(inputs).select(*N.PAIR, N.RATING, PART, PLACE, matrix.FEATURES)
+    levels = matrix.category_levels(early)
+    assembler = matrix.assembler(matrix.feature_columns(inputs.drop(PART, PLACE)))
+    indexed = matrix.index_categories(inputs, levels, heavy)
+    assembled = assembler.transform(indexed).select(*N.PAIR, N.RATING, PART, PLACE, matrix.FEATURES)
     both = stored(assembled, "learner-input", [PART])
     ready = {name: both.filter(F.col(PART) == name) for name in (EARLY, LATE)}
     ready[EARLY] = in_fixed_order(ready[EARLY], min(n_early, fit_rows))
 
     fitted = boosting.fit_boosting(ready[EARLY], ready[LATE], settings or boosting.BoostingSettings())
     errors = metrics.regression_metrics(fitted.model.transform(ready[LATE])).first()
-    PipelineModel([*assembler.stages, fitted.model]).write().overwrite().save(model_path)
+    levels.write.mode("overwrite").parquet(f"{model_path}/levels")
+    PipelineModel([assembler, fitted.model]).write().overwrite().save(f"{model_path}/pipeline")
     return TrainingReport(date, fitted.best, fitted.losses, errors.rmse, errors.mae)

@@ -113,10 +113,24 @@ def test_artefact_versions_are_never_overwritten(spark):
 
 
 def test_unseen_category_gets_its_own_number(spark):
-    levels = spark.createDataFrame([("b",), ("a",), ("c",)], "gender STRING")
-    model = matrix.fit_category_index(levels, ["gender"])
-    asked = spark.createDataFrame([("a",), ("c",), ("zz",)], "gender STRING")
-    assert [r.gender_index for r in model.transform(asked).collect()] == [0.0, 2.0, 3.0]
+    rows = spark.createDataFrame([("b",), ("a",), ("c",), (None,), ("a",)], "gender STRING")
+    levels = matrix.category_levels(rows)
+    asked = spark.createDataFrame([(i, 1, g) for i, g in enumerate(["a", "c", "zz", None])], "user_id INT, book_id INT, gender STRING")
+    for heavy in ({}, {"gender": [("a", 3), (None, 2)]}):
+        found = matrix.index_categories(asked, levels, heavy).orderBy("user_id").collect()
+        assert [r.gender_index for r in found] == [0.0, 2.0, 3.0, 3.0]
+
+
+def test_a_million_levels_are_numbered_in_order(spark):
+    n = 1_000_000
+    rows = spark.range(2 * n).select(
+        F.format_string("p%07d", F.pmod(F.col("id") * 7_919, F.lit(n))).alias(N.PUBLISHER), (F.col("id") % 2).cast("string").alias(N.GENDER)
+    )
+    levels = matrix.category_levels(rows)
+    expected = F.substring("level", 2, 7).cast("bigint")
+    publishers = levels.filter(F.col("column") == N.PUBLISHER)
+    assert publishers.count() == n and publishers.filter(expected != F.col("number")).count() == 0
+    assert sorted((r.level, r.number) for r in levels.filter(F.col("column") == N.GENDER).collect()) == [("0", 0), ("1", 1)]
 
 
 def test_scan_finds_columns_by_name_and_keeps_quoted_lines(spark, tmp_path):
