@@ -44,7 +44,7 @@ def split_date(df: DataFrame, ratio: float = N.SPLIT_RATIO, column: str = N.TIME
 
     A global sort would send every row through a range shuffle. Here each level counts one calendar unit, finds the
     unit that holds the place and looks only inside it at the next level: day, second, microsecond. Each level is a
-    narrow scan with partial counts. Missing times sort last, so a place among them gives a missing date.
+    narrow scan with partial counts, and the later ones read only what can hold their unit. Missing times sort last, so a place among them gives a missing date.
     """
     if not 0 < ratio < 1:
         raise ValueError(f"the ratio must lie strictly between 0 and 1, not {ratio}")
@@ -55,8 +55,13 @@ def split_date(df: DataFrame, ratio: float = N.SPLIT_RATIO, column: str = N.TIME
     days = times.groupBy("day").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     found = _pick(days, "day", F.floor(total.cast("double") * F.lit(ratio)).cast("bigint"))
-    for outer, inner in (("day", "second"), ("second", "t")):
-        counted = times.join(F.broadcast(found), outer).groupBy(inner, "place").agg(F.count("*").alias("n"))
+    for outer, inner, width in (("day", "second", "1 day"), ("second", "t", "1 second")):
+        # Bounds of the found unit as scalar subqueries reach the scan, which then skips files and row groups.
+        low = F.col(outer).cast("timestamp_ntz")
+        bounds = [found.select(b).scalar() for b in (low, low + F.expr(f"interval {width}"))]
+        inside = times.filter((t >= bounds[0]) & (t < bounds[1]))
+        place = F.lit(found.select("place").scalar()).alias("place")
+        counted = inside.groupBy(inner).agg(F.count("*").alias("n")).select(inner, "n", place)
         found = _pick(counted, inner, F.col("place"))
     return found.agg(F.max("t").alias("split_date"))
 

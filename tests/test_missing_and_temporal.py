@@ -112,3 +112,15 @@ def test_parts_take_a_scalar_subquery(spark):
     df = times(spark, [START + timedelta(days=i) for i in range(10)])
     early, late = temporal.temporal_parts(df, temporal.split_date(df, 0.5).scalar())
     assert (early.count(), late.agg(F.min("timestamp")).first()[0]) == (6, START + timedelta(days=6))
+
+
+def test_split_date_narrows_its_scans(spark, tmp_path, capsys):
+    """The second and third pass filter the time column by bounds that are known before their scan starts."""
+    path = str(tmp_path / "times")
+    rows = spark.range(500).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=F.col("id"))).alias("t"))
+    rows.write.parquet(path)
+    found = temporal.split_date(spark.read.parquet(path), 0.5, "t")
+    assert found.first().split_date == rows.orderBy("t").collect()[250].t
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert ">= Subquery" in plan or ">= scalar-subquery" in plan
