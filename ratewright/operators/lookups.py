@@ -20,13 +20,13 @@ def descriptions_of(descriptions: DataFrame, rows: DataFrame, heavy: HeavyKeys)
 
 def last_descriptions(descriptions: DataFrame, order: str = N.ROW_ORDER) -> DataFrame:
     """One text per book, the last in file order; a missing text is empty."""
-    kept = keep_last(descriptions, [N.BOOK], order)
+    kept = keep_last(descriptions, [N.BOOK], order, grouped=True)
     return kept.select(N.BOOK, F.coalesce(N.DESCRIPTION, F.lit("")).alias(N.DESCRIPTION))
 
 
 def first_descriptions(descriptions: DataFrame, order: str = N.ROW_ORDER) -> DataFrame:
     """One text per book, the first in file order; a missing text is empty."""
-    kept = keep_first(descriptions, [N.BOOK], order)
+    kept = keep_first(descriptions, [N.BOOK], order, grouped=True)
     return kept.select(N.BOOK, F.coalesce(N.DESCRIPTION, F.lit("")).alias(N.DESCRIPTION))
 
 
