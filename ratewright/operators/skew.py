@@ -40,6 +40,12 @@ def find_heavy(rows: DataFrame, keys: Sequence[str], piece_rows: int | None = No
     return heavy
 
 
+def _free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened until none of the `taken` columns has them."""
+    lower = {c.lower() for c in taken}
+    return [next(n for n in (w + "_" * i for i in range(len(lower) + 1)) if n not in lower) for w in wanted]
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -64,18 +70,19 @@ def salted_join(
         joined = left.join(right, on, how)
     else:
         kind = left.schema[on].dataType
-        schema = T.StructType([T.StructField(on, kind), T.StructField("key_pieces", T.IntegerType())])
+        pieces_of, piece = _free_names([*left.columns, *right.columns], "key_pieces", "key_piece")
+        schema = T.StructType([T.StructField(on, kind), T.StructField(pieces_of, T.IntegerType())])
         known = [(v, n) for v, n in entries if v is not None]
         table = F.broadcast(left.sparkSession.createDataFrame(known, schema))
         spread = F.xxhash64(*(spread_by or [c for c in left.columns if c != on] or [on]))
         absent = max([n for v, n in entries if v is None], default=1)
-        pieces = F.when(F.col(on).isNull(), absent).otherwise(F.coalesce("key_pieces", F.lit(1)))
-        cut = left.join(table, on, "left").withColumn("key_piece", F.pmod(spread, pieces).cast("int"))
+        pieces = F.when(F.col(on).isNull(), absent).otherwise(F.coalesce(pieces_of, F.lit(1)))
+        cut = left.join(table, on, "left").withColumn(piece, F.pmod(spread, pieces).cast("int"))
         repeated = (
             right.join(table, on, "left")
-            .withColumn("key_piece", F.explode(F.sequence(F.lit(0), F.coalesce("key_pieces", F.lit(1)) - 1)))
-            .drop("key_pieces")
+            .withColumn(piece, F.explode(F.sequence(F.lit(0), F.coalesce(pieces_of, F.lit(1)) - 1)))
+            .drop(pieces_of)
         )
-        joined = cut.drop("key_pieces").join(repeated, [on, "key_piece"], how).drop("key_piece")
+        joined = cut.drop(pieces_of).join(repeated, [on, piece], how).drop(piece)
     rest = [c for c in joined.columns if c not in left.columns]
     return joined.select(*left.columns, *rest)

@@ -161,3 +161,11 @@ def test_one_row_per_key_sorts_no_other_columns(spark, capsys):
     assert sorted(r.row_order for r in last.collect()) == [4, 5, 6, 7]
     last.explain()
     assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_split_join_leaves_columns_of_like_names_alone(spark):
+    left = spark.createDataFrame([(1, i, 7) for i in range(20)] + [(None, 1, 8)], "user_id INT, key_pieces INT, Key_piece INT")
+    right = spark.createDataFrame([(1, "a")], "user_id INT, key_piece_ STRING")
+    found = salted_join(left, right, "user_id", heavy={"user_id": [(1, 4), (None, 2)]})
+    assert found.columns == ["user_id", "key_pieces", "Key_piece", "key_piece_"]
+    assert sorted(r.key_pieces for r in found.filter("key_piece_ = 'a'").collect()) == list(range(20)) and found.count() == 21
