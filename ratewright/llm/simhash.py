@@ -19,13 +19,9 @@ Null and empty texts, and texts of white space alone, have fingerprint zero and
 get the same result twice. A null id stays null and never is the smallest one; a group without any id has a null
 component. Other columns are ignored. An empty table gives an empty result.
 
-All that is the contract of the query. `drop_near_duplicates`, the stage of the pipeline, links texts by another one: the
-sets of their five-word shingles have a Jaccard similarity of `SIMILARITY` or more, compared exactly (shingles as 64-bit
-hashes). A fingerprint cannot find these pairs: at similarity 0.8 about one bit in seven differs, so no byte need be
-shared. Candidates come from lists again, but of min-hashes: a text stands in `BANDS` lists, one per `BAND_ROWS` minima,
-and a pair at similarity s meets in none of them with probability (1 - s^4)^24, 1 in 320,000 at 0.8 and less above. Texts
-with equal sets are one node. Only texts that share a list with another one get their sets written, and each list, but
-one of those with the same members, is searched like the lists above. Texts without words are equal to one another and to nothing else.
+`near_duplicate_groups` is the contract of the query. `drop_near_duplicates`, the stage of the pipeline, keeps one row of
+each of these groups: the one with the smallest id, a row without an id only where the group has no other, and any one of
+several rows of that id.
 """
 
 from __future__ import annotations
@@ -50,13 +46,6 @@ N_BYTES = 8
 MIN_SHARED = N_BYTES - MAX_BITS
 LIST_ROWS = 4_096
 
-STAGE_WORDS = 5
-SIMILARITY = 0.8
-BANDS = 24
-BAND_ROWS = 4
-FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64)
-FACTORS |= np.uint64(1)
-
 
 def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
     """The XXH64 values of a text's shingles, in order; fewer words than a shingle has are one shingle."""
@@ -251,124 +240,15 @@ def near_duplicate_groups(
     )
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The lists of a set of shingles: one key per band of min-hashes; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1_024):
-        np.minimum(least, (hashes[at : at + 1_024, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    bands = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64).view(np.int64)
-
-
-@F.pandas_udf(T.StructType().add("same", T.BinaryType()).add("bands", T.ArrayType(T.LongType())))
-def set_print(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """A digest of a text's set of shingles, and its lists."""
-    for batch in texts:
-        found = []
-        for text in batch:
-            hashes = np.unique(shingle_hashes(text, STAGE_WORDS))
-            found.append((xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(hashes)))
-        yield pd.DataFrame(found, columns=["same", "bands"])
-
-
-@F.pandas_udf(T.BinaryType())
-def shingle_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The sorted hashes of a text's shingles."""
-    for batch in texts:
-        yield pd.Series([np.unique(shingle_hashes(t, STAGE_WORDS)).tobytes() for t in batch], dtype=object)
-
-
-def _similar(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """Groups of sets (positions) that similarities of `SIMILARITY` connect, each as its first set and the others."""
-    sizes = np.array([len(s) for s in sets])
-    open_ = np.arange(len(sets))
-    while len(open_):
-        first, open_ = open_[0], open_[1:]
-        frontier, found = [first], []
-        while frontier and len(open_):
-            at = frontier.pop()
-            least, most = np.minimum(sizes[open_], sizes[at]), np.maximum(sizes[open_], sizes[at])
-            near = least / most >= SIMILARITY
-            asked = open_[near]
-            if not len(asked):
-                continue
-            own = sets[at]
-            values = np.concatenate([sets[i] for i in asked])
-            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
-            common = np.add.reduceat((own[place] == values).astype(np.int64), np.cumsum(sizes[asked]) - sizes[asked])
-            near[near] = common / (sizes[asked] + sizes[at] - common) >= SIMILARITY
-            reached = open_[near]
-            open_ = open_[~near]
-            frontier.extend(reached.tolist())
-            found.append(reached)
-        if found:
-            yield first, np.concatenate(found)
-
-
-def _similar_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges within each list; rows arrive sorted by list, and a list may run over several batches."""
-    open_list, members = None, {}
-
-    def work() -> pd.DataFrame:
-        nodes = np.array(sorted(members), np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, others in _similar([np.frombuffer(members[n], np.uint64) for n in nodes]):
-            a.append(np.full(len(others), nodes[first]))
-            b.append(nodes[others])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    for batch in batches:
-        names = zip(batch["list"], batch["low"], batch["high"], strict=True)
-        for name, node, hashes in zip(names, batch["node"], batch["shingles"], strict=True):
-            if name != open_list:
-                if len(members) > 1:
-                    yield work()
-                open_list, members = name, {}
-            members[node] = hashes
-    if len(members) > 1:
-        yield work()
-
-
-def link_similar(nodes: DataFrame, texts: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Edges (a, b) that connect stored `nodes` (node, bands) as all pairs of similar `texts` (node, text) would."""
-    lists = nodes.select("node", F.explode("bands").alias("list"))
-    # Similar texts meet in many lists; of lists with the same members (by two hashes) one is searched.
-    marks = [F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2")]
-    counted = lists.groupBy("list").agg(F.count("*").alias("n"), *marks).filter("n > 1")
-    common = stored(counted.groupBy("n", "h1", "h2").agg(F.min("list").alias("list")).select("list", "n"), "lists")
-    shared = stored(lists.join(common, "list"), "candidates")
-    asked = stored(shared.select("node").distinct(), "asked")
-    sets = stored(texts.join(asked, "node", "left_semi").select("node", shingle_set("text").alias("shingles")), "shingles")
-    blocks = F.ceil(F.col("n") / list_rows).cast("bigint")
-    dealt = (
-        shared.withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node")
-    )
-    sorted_lists = dealt.join(sets, "node").repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    return sorted_lists.mapInPandas(_similar_edges, "a bigint, b bigint").distinct()
-
-
 def drop_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", list_rows: int = LIST_ROWS
 ) -> DataFrame:
-    """`docs` with one row of each group of similar texts, the one with the smallest id (among rows of that id, any one).
-
-    Groups of rows without any id are told apart by their root, so they keep one row each as well.
-    """
-    prints, row, winner = fresh(docs, "prints", "row", "winner")
-    marked = stored(docs.withColumns({prints: set_print(F.col(text)), row: F.monotonically_increasing_id()}), "marked")
-    # Ranks: the smallest id first, rows without one last; a row number decides between equals.
+    """`docs` with one row of each group of linked fingerprints, the one with the smallest id."""
+    fp, row, winner = fresh(docs, "fp", "row", "winner")
+    marked = stored(docs.withColumns({fp: fingerprint(F.col(text)), row: F.monotonically_increasing_id()}), "marked")
+    # Ids are compared as structs: rows without one last, and a row number decides between equals.
     order = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("id"), F.col(row).alias("row"))
-    firsts = marked.groupBy(F.col(prints)["same"]).agg(F.min(order).alias("first"), F.first(F.col(prints)["bands"]).alias("bands"))
-    nodes = stored(firsts.select(F.col("first.row").alias("node"), "first", "bands"), "first-rows")
-    texts = marked.select(F.col(row).alias("node"), F.col(text).alias("text"))
-    stars = components(link_similar(nodes, texts, list_rows)).withColumnRenamed("node", "hung")
-    rooted = nodes.join(stars, F.col("node") == F.col("hung"), "left").select(
-        F.coalesce("root", "node").alias("root"), "first"
-    )
-    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(winner)), "kept")
-    return marked.join(kept, F.col(row) == F.col(winner), "left_semi").select(*docs.columns)
+    groups = component_table(marked.select(order.alias("id"), F.col(fp).alias("fp")), list_rows)
+    kept = groups.select(F.col("component_id.row").alias(winner)).distinct()
+    # Winners grow with the documents, so they are never broadcast; hashing them leaves the texts unsorted.
+    return marked.join(kept.hint("shuffle_hash"), F.col(row) == F.col(winner), "left_semi").select(*docs.columns)
