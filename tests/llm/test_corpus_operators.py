@@ -388,12 +388,6 @@ def test_token_counts_of_odd_tables(spark, odd, empty):
 # Toxicity
 
 
-def test_likelihood_ratios_compare_two_distributions():
-    counts = {"\x02a": (3, 1), "\x02b": (1, 3), "\x02ac": (2, 1), "\x02ad": (1, 0)}
-    seen, unseen = toxicity.likelihood_ratios(counts)
-    assert seen["\x02a"] > 0 > seen["\x02b"] and set(unseen) == {"\x02", "\x02a"}
-
-
 def test_toxicity_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
