@@ -195,15 +195,17 @@ def book_vectors(x: Fixtures) -> DataFrame:
     """The stored vectors of each book in long form: its TF-IDF weights and the values of its embedding."""
     _, books = read_features(x.spark, prepared_features(x))
 
-    def long(kind: str, values: Column) -> DataFrame:
-        placed = books.select(N.BOOK, F.posexplode(values).alias("idx", "value"))
-        return placed.select(
-            N.BOOK, F.lit(kind).alias("kind"), F.col("idx").cast("bigint").alias("idx"),
-            F.round(F.col("value").cast("double"), 6).alias("value"),
+    def long(kind: str, values: Column, zeros: bool) -> DataFrame:
+        numbers = F.transform(
+            values,
+            lambda v, i: F.struct(i.cast("bigint").alias("idx"), F.round(v.cast("double"), 6).alias("value")),
         )
+        # Nearly all weights are zero; they go before the rows are made.
+        wanted = numbers if zeros else F.filter(numbers, lambda e: e["value"] != 0)
+        return books.select(N.BOOK, F.lit(kind).alias("kind"), F.inline(wanted))
 
-    weights = long(N.TFIDF, vector_to_array(N.TFIDF)).filter("value != 0")
-    return weights.unionByName(long(N.EMBEDDING, F.col(N.EMBEDDING)))
+    weights = long(N.TFIDF, vector_to_array(N.TFIDF), False)
+    return weights.unionByName(long(N.EMBEDDING, F.col(N.EMBEDDING), True))
 
 
 # MLlib's rounds and bins cost far more than the data do, so these runs grow few trees, on so many rows at most.

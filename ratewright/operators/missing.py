@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import names as N
@@ -11,10 +11,61 @@ RATING_LIKE = [N.USER_MEAN, N.BOOK_MEAN, N.AUTHOR_MEAN, N.AVG_RATING]
 COUNT_LIKE = [N.USER_COUNT, N.BOOK_COUNT, N.GENRES_COUNT]
 
 
+STEPS = 1_000
+NARROWINGS = 2
+
+
+def _narrowed(values: DataFrame, low: Column, high: Column) -> DataFrame:
+    """One row `b`: the number of values `n` and a narrower range (`low`, `high`) that holds both middle ones.
+
+    The sketch is off by a tenth of a step at most, so one step beyond the wanted places is enough.
+    """
+    v = F.col("v")
+    inside = F.when((v >= low) & (v <= high), v)
+    row = values.agg(
+        F.count("v").alias("n"),
+        F.count_if(v < low).alias("below"),
+        F.count(inside).alias("m"),
+        F.percentile_approx(inside, [i / STEPS for i in range(STEPS + 1)], 10 * STEPS).alias("q"),
+    )
+
+    def step(rank: Column) -> Column:
+        return (rank - F.col("below")) * STEPS / F.nullif(F.col("m"), F.lit(0))
+
+    first = (F.floor(step(F.floor((F.col("n") - 1) / 2))) - 1).cast("int")
+    last = (F.ceil(step(F.ceil((F.col("n") - 1) / 2) + 1)) + 1).cast("int")
+    return row.select(
+        F.struct(
+            "n",
+            F.when(first < 0, low).otherwise(F.get("q", first)).alias("low"),
+            F.when(last > STEPS, high).otherwise(F.get("q", last)).alias("high"),
+        ).alias("b")
+    )
+
+
 def exact_median(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """One row with the interpolated median. Equal values are counted first, so one task sees distinct values only."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return counts.agg(F.percentile(column, 0.5, F.col("n")).alias(name))
+    """One row with the interpolated median of a numeric column; NaN counts as missing.
+
+    Each narrowing is one pass that keeps a sketch and counts; it leaves at most a three-hundredth of the values. The last
+    pass counts what is inside the range by value, so the task that picks the middle sees about a 100,000th of the rows,
+    equal ones counted once.
+    """
+    given = F.col(column).cast("double")
+    values = rows.select(F.when(~F.isnan(given), given).alias("v"))
+    v, low, high = F.col("v"), F.lit(float("-inf")), F.lit(float("inf"))
+    for _ in range(NARROWINGS):
+        bounds = _narrowed(values, low, high).scalar()
+        low, high = bounds["low"], bounds["high"]
+    # Values below the range are one group, the null one.
+    counted = values.filter(v <= high).groupBy(F.when(v >= low, v).alias("v")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(v.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counted.select("v", upto.alias("upto"), (upto - F.col("n")).alias("before"), bounds["n"].alias("total"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), v))
+
+    last = F.col("total") - 1
+    return placed.agg(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias(name))
 
 
 def global_mean(train: DataFrame, name: str = "global_mean") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import names as N
@@ -14,7 +14,7 @@ from ..functions import zero_vector
 from ..operators import aggregates, embeddings, lookups, merge, missing, tfidf
 from ..operators.skew import find_heavy
 from ..session import stored
-from ..sources import append_embeddings, load_table, read_embeddings, save_table, versioned, write_features
+from ..sources import append_embeddings, load_table, publish, published, read_embeddings, versioned, write_features
 
 
 @dataclass(frozen=True)
@@ -38,9 +38,13 @@ class TextSettings:
 
 @dataclass(frozen=True)
 class Prepared:
+    """What was stored: rows per source and columns, and the train log's rows before and after those without a rating
+    went. The numbers are observed on the writes."""
+
     folder: str
     rows: dict[str, int]
     n_features: int
+    log_rows: dict[str, int]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -56,24 +60,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def fitted_vocabulary(
     spark: SparkSession, descriptions: DataFrame, train: DataFrame, text: TextSettings
 ) -> DataFrame:
-    """The stored vocabulary of this version, fitted on the descriptions of train books if it is not there yet.
+    """The published vocabulary of this version, fitted on the descriptions of train books if there is none yet.
 
-    Its settings are stored beside it, before it; asking for the same version with others is an error.
+    Its settings are published with it; asking for the same version with others is an error.
     """
     path = versioned(text.artefacts, "vocabulary", text.version)
-    settings_path = versioned(text.artefacts, "vocabulary-settings", text.version)
     wanted = (text.max_features, text.min_df, float(text.max_df))
-    fitted = _exists(spark, path)
-    if fitted or _exists(spark, settings_path):
-        found = tuple(load_table(spark, settings_path).first())
-        if found != wanted:
-            raise ValueError(f"version {text.version} has (max_features, min_df, max_df) = {found}, not {wanted}")
-    else:
-        save_table(spark.createDataFrame([wanted], "max_features INT, min_df INT, max_df DOUBLE"), settings_path)
-    if not fitted:
+    run = published(spark, path)
+    if run is None:
         fit_on = lookups.descriptions_of(descriptions, train, find_heavy(descriptions, [N.BOOK]))
-        save_table(tfidf.fit_vocabulary(fit_on, text.max_features, text.min_df, text.max_df), path)
-    return load_table(spark, path)
+        vocabulary = tfidf.fit_vocabulary(fit_on, text.max_features, text.min_df, text.max_df)
+        settings = spark.createDataFrame([wanted], "max_features INT, min_df INT, max_df DOUBLE")
+        publish({"settings": settings, "vocabulary": vocabulary}, path)
+        run = published(spark, path)
+    found = tuple(load_table(spark, f"{run}/settings").first())
+    if found != wanted:
+        raise ValueError(f"version {text.version} has (max_features, min_df, max_df) = {found}, not {wanted}")
+    return load_table(spark, f"{run}/vocabulary")
 
 
 def cached_embeddings(spark: SparkSession, descriptions: DataFrame, text: TextSettings) -> DataFrame | None:
@@ -121,12 +124,12 @@ def prepare(spark: SparkSession, tables: dict[str, DataFrame], folder: str, text
     descriptions = tables["book_descriptions"]
     if text.text_tasks is not None:
         descriptions = descriptions.repartition(text.text_tasks)
-    log = stored(merge.union_sources(merge.keep_rated(tables["train"]), tables["test"]), "log")
+    log_rows, kept_rows = Observation(), Observation()
+    log = stored(merge.union_sources(merge.keep_rated(tables["train"], log_rows), tables["test"]), "log")
     rows, filled = filled_rows(log, tables["users"], tables["books"], tables["book_genres"])
     vocabulary = fitted_vocabulary(spark, descriptions, rows.filter(F.col(N.SOURCE) == N.TRAIN), text)
     cache = cached_embeddings(spark, descriptions, text)
     vectors = book_vectors(rows, descriptions, vocabulary, cache, text)
-    write_features(filled, vectors, folder)
-
-    counts = {r.source: r.n for r in rows.groupBy(N.SOURCE).agg(F.count("*").alias("n")).collect()}
-    return Prepared(folder, counts, len(filled.columns) + len(vectors.columns) - 1)
+    sizes = [F.count_if(F.col(N.SOURCE) == s).alias(s) for s in (N.TRAIN, N.TEST)]
+    write_features(filled.observe(kept_rows, *sizes), vectors, folder)
+    return Prepared(folder, kept_rows.get, len(filled.columns) + len(vectors.columns) - 1, log_rows.get)

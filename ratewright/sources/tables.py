@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,12 +128,16 @@ def scan_raw_folder(spark: SparkSession, folder: str, sep: str = ",") -> dict[st
     return {table: scan(spark, table, f"{folder.rstrip('/')}/{file}", sep) for table, file in N.FILES.items()}
 
 
-def write_submission(predictions: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write keys and predictions as CSV with a header.
+def write_submission(predictions: DataFrame, path: str, single_file: bool = False) -> dict[str, float | int | None]:
+    """Write keys and predictions as CSV with a header; returns their number, least, largest and mean, observed on the way.
 
     `single_file` is for handing the result to a program that wants one file; it sends all rows through one task.
     """
-    out = predictions.select(N.USER, N.BOOK, N.PREDICTION)
+    seen, p = Observation(), N.PREDICTION
+    out = predictions.select(N.USER, N.BOOK, p).observe(
+        seen, F.count(F.lit(1)).alias("n"), F.min(p).alias("min"), F.max(p).alias("max"), F.avg(p).alias("mean")
+    )
     if single_file:
         out = out.coalesce(1)
     out.write.mode("overwrite").option("header", True).csv(path)
+    return seen.get

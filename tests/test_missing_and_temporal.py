@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,24 @@ def test_empty_part_is_an_error(spark, date):
         temporal.checked_parts(times(spark, [START, START + timedelta(days=2)]), date)
 
 
+@pytest.mark.parametrize("kind", ["many", "even", "heavy", "wide", "one", "nan", "none"])
+def test_median_of_any_doubles(spark, kind):
+    chance = np.random.default_rng(3)
+    values = {
+        "many": chance.normal(size=40_001),
+        "even": chance.normal(size=40_000) * 1e-300,
+        "heavy": np.where(chance.random(30_000) < 0.49, chance.random(30_000), 5.0),
+        "wide": np.concatenate([10.0 ** chance.integers(-300, 300, 20_000), [-np.inf, np.inf]]),
+        "one": np.array([4.25]),
+        "nan": np.array([np.nan, 1.0, 2.0, np.nan]),
+        "none": np.array([np.nan]),
+    }[kind]
+    df = spark.createDataFrame([(float(v),) for v in values], "x DOUBLE").repartition(4)
+    found = missing.exact_median(df, "x", "m").first().m
+    given = values[~np.isnan(values)]
+    assert found == (np.median(given) if len(given) else None)
+
+
 def test_median_interpolates_and_ignores_missing(spark):
     df = spark.createDataFrame([(2.0,), (3.0,), (3.0,), (10.0,), (None,), (1.0,)], "age DOUBLE")
     assert missing.exact_median(df, "age", "m").first().m == 3.0

@@ -1,7 +1,9 @@
 import csv
 import random
+import time
 from dataclasses import replace
 from importlib import import_module
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -11,10 +13,11 @@ from catalog import workflows
 from catalog.fixtures import Fixtures
 from ratewright import names as N
 from ratewright.operators import boosting, matrix
+from ratewright.operators.metrics import prediction_stats
 from ratewright.plans import predict, train
 from ratewright.schemas import NULL_TOKENS
 from ratewright.session import fresh_path, shared_folder, stored
-from ratewright.sources import append_embeddings, load_table, read_embeddings, read_features, save_table, scan, scan_raw_folder, versioned, write_submission
+from ratewright.sources import append_embeddings, load_table, publish, published, read_embeddings, read_features, save_table, scan, scan_raw_folder, versioned, write_submission
 
 FOLDER = "/root/testdata/sf0.001"
 training = import_module("ratewright.plans.train")
@@ -233,6 +236,32 @@ def test_a_version_keeps_its_vocabulary_settings(spark):
         build.fitted_vocabulary(spark, docs, docs, replace(text, max_features=6))
 
 
+def test_interrupted_and_doubled_runs_of_a_version(spark):
+    build = import_module("ratewright.plans.prepare")
+    docs = spark.createDataFrame([(1, "one two", 0), (2, "one", 0)], "book_id INT, description STRING, row_order INT")
+    base = fresh_path(spark, "artefacts")
+    text = build.TextSettings("v", base, max_features=5, min_df=1, max_df=1.0)
+    path = versioned(base, "vocabulary", "v")
+    # A run that was lost after its settings, and one that was lost before its mark.
+    spark.range(1).write.parquet(f"{path}/run-0/settings")
+    publish({"settings": spark.range(1), "vocabulary": spark.range(9)}, path)
+    [mark] = Path(path.removeprefix("file:")).glob("run-*/_done")
+    mark.unlink()
+    assert published(spark, path) is None
+    first = sorted(build.fitted_vocabulary(spark, docs, docs, text).collect())
+    run = published(spark, path)
+    time.sleep(0.05)
+    publish({"settings": spark.range(1), "vocabulary": spark.range(9)}, path)
+    assert published(spark, path) == run
+    assert sorted(build.fitted_vocabulary(spark, docs, docs, text).collect()) == first
+
+
+def test_a_submission_reports_what_it_wrote(spark):
+    rows = spark.createDataFrame([(1, 2, 7.5), (1, 3, 2.5)], "user_id INT, book_id INT, rating_predict DOUBLE").repartition(2)
+    stats = write_submission(rows, fresh_path(spark, "submission"))
+    assert stats == {"n": 2, "min": 2.5, "max": 7.5, "mean": 5.0} == prediction_stats(rows).first().asDict()
+
+
 def test_a_book_appended_twice_has_one_embedding(spark):
     path = fresh_path(spark, "embeddings")
     books = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "book_id INT, embedding ARRAY<FLOAT>")
