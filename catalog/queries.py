@@ -188,7 +188,8 @@ def aggregate_features_split(x: Fixtures) -> DataFrame:
 
 @query
 def age_median(x: Fixtures) -> DataFrame:
-    return missing.exact_median(_merged(x), N.AGE, "age_median")
+    # Three passes read the ages, so they are stored as `prepare` stores the merged rows.
+    return missing.exact_median(stored(_merged(x).select(N.AGE), "ages"), N.AGE, "age_median")
 
 
 @query
