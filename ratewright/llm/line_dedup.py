@@ -1,8 +1,8 @@
 """Lines that a site repeats: navigation, notices and other boilerplate.
 
-For every host, the pages that contain a line are divided by all pages of that host; a line above the ratio that
-also stands on `MIN_PAGES` pages or more goes from all of the host's pages. So on a host of fewer than 50 pages the minimum
-decides and not the ratio of 0.1, and a host of fewer than five pages loses no line. DataFrame operations only.
+For every host, the pages that contain a line are divided by all pages of that host; a line above the ratio goes from all
+of the host's pages, whatever their number. Only a line that stands on a single page (`MIN_PAGES` is 2) repeats nowhere and
+stays, however few pages its host has. DataFrame operations only.
 
 A line is what stands between line feeds, compared as it is. Lines without a character other than ASCII white space are
 kept and never counted. A page counts a line once. Rows without a host form a host of their own; rows without text count
@@ -24,7 +24,7 @@ from ..session import stored
 from .names import fresh
 
 RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2
 PIECES = 64
 
 

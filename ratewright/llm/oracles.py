@@ -10,7 +10,7 @@ SQL = {
             SELECT source, count(*) AS total FROM documents GROUP BY source
         ), counted AS (
             SELECT source, line, count(*) AS n FROM lines
-            WHERE regexp_matches(line, '[^ \t\n\x0b\x0c\r]') GROUP BY source, line HAVING count(*) >= 5
+            WHERE regexp_matches(line, '[^ \t\n\x0b\x0c\r]') GROUP BY source, line HAVING count(*) >= 2
         ), boilerplate AS (
             SELECT c.source, list(line) AS marks
             FROM counted c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source

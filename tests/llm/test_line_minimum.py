@@ -1,10 +1,12 @@
-"""The minimum of pages in the rule of line dedup, as code and documentation state it."""
+"""Hosts of every size lose the lines above the ratio; a line on one page repeats nowhere and stays."""
 
 from ratewright.llm import line_dedup
 
 
-def test_lines_below_the_minimum_of_pages_stay(spark):
-    assert "`MIN_PAGES`" in line_dedup.__doc__
-    pages = [("four", "menu")] * 4 + [("five", "menu")] * 5 + [("twenty", "menu" if i < 4 else f"own {i}") for i in range(20)]
+def test_the_ratio_decides_on_hosts_of_every_size(spark):
+    pages = [("one", "menu")] + [("two", "menu")] * 2 + [("four", "menu")] * 4
+    pages += [("twenty", "menu" if i < 3 else "rare" if i < 5 else f"own {i}") for i in range(20)]
     found = line_dedup.drop_site_lines(spark.createDataFrame(pages, "host string, text string")).collect()
-    assert {r.host: sum(x.host == r.host and x.text == "menu" for x in found) for r in found} == {"four": 4, "five": 0, "twenty": 4}
+    left = {h: sorted(r.text for r in found if r.host == h and not r.text.startswith("own")) for h in ("one", "two", "four", "twenty")}
+    assert left == {"one": ["menu"], "two": ["", ""], "four": [""] * 4, "twenty": ["", "", "", "rare", "rare"]}
+    assert sum(r.text.startswith("own") for r in found) == 15
