@@ -2,8 +2,10 @@
 
 Every task encodes its texts, cuts those above the capacity into pieces without losing an id, and packs windows of pieces
 by best-fit decreasing: pieces from long to short, each into the open sequence that it fills best, which a segment tree
-over the free capacities finds. Sequences filled well leave; the pieces of the others move on to the next window, so that
-only the last window of a task has half-empty ones. Nothing is shuffled, and a task holds one window.
+over the free capacities finds. A piece that fills a sequence leaves at once, and so do sequences filled well. The pieces
+of the others move on to the next window, as far as they fill half of it; beyond that the fullest sequences leave. So
+every round of packing frees half a window: a task holds one window and the ids of one text, and its time grows with the
+ids. Nothing is shuffled.
 
 A row is one sequence: `input_ids`, a fixed-length row of little-endian 32-bit ids filled up with the pad id;
 `cu_seqlens`, the cumulative lengths of its segments from 0; `position_ids`, little-endian 16-bit positions that restart
@@ -15,7 +17,8 @@ Other columns are ignored. An empty table gives no sequences.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,7 @@ from .tokenizers_bytes import ID_BYTES, byte_encoder
 
 WINDOW_PIECES = 4_096
 WELL_FILLED = 0.98
+OUTPUT_ROWS = 512
 PAD_ID = 0
 
 
@@ -77,6 +81,32 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return [items for stack in open_.values() for items in stack]
 
 
+def sequences(pieces: Iterable[tuple], capacity: int, window: int) -> Iterator[list[tuple]]:
+    """Pieces, whose last field is their ids, as sequences of them; at most `window` pieces wait."""
+    waiting: list[tuple] = []
+
+    def packed(stay: int) -> Iterator[list[tuple]]:
+        nonlocal waiting
+        lengths = [len(p[-1]) // ID_BYTES for p in waiting]
+        bins = [(sum(lengths[i] for i in items), items) for items in best_fit_decreasing(lengths, capacity)]
+        here, own, waiting = len(waiting), waiting, []
+        for filled, items in sorted(bins, key=lambda b: -b[0]):
+            if here > stay or filled >= WELL_FILLED * capacity:
+                here -= len(items)
+                yield [own[i] for i in items]
+            else:
+                waiting += [own[i] for i in items]
+
+    for piece in pieces:
+        if len(piece[-1]) == capacity * ID_BYTES:
+            yield [piece]
+            continue
+        waiting.append(piece)
+        if len(waiting) >= window:
+            yield from packed(window // 2)
+    yield from packed(0)
+
+
 def pack_ids(
     docs: DataFrame,
     tokenizer_path: str,
@@ -94,42 +124,26 @@ def pack_ids(
         end = END_ID.to_bytes(ID_BYTES, "little")
         pad = PAD_ID.to_bytes(ID_BYTES, "little")
         positions = np.arange(capacity, dtype="<u2").tobytes()
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        waiting: list[tuple] = []
+        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
 
-        def row(own: list[tuple]) -> tuple:
-            nonlocal number
-            number += 1
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for key_, text_ in batch.itertuples(index=False, name=None):
+                    ids = encoder.encode(text_ or "") + end
+                    for piece, (s, n) in enumerate(cut(len(ids) // ID_BYTES, capacity)):
+                        yield key_, piece, s, ids[s * ID_BYTES : (s + n) * ID_BYTES]
+
+        def row(number: int, own: list[tuple]) -> tuple:
             lengths = [len(p[3]) // ID_BYTES for p in own]
             total = sum(lengths)
             ids = b"".join(p[3] for p in own) + pad * (capacity - total)
             places = b"".join(positions[: 2 * n] for n in lengths) + b"\0\0" * (capacity - total)
             segments = [{"id": p[0], "piece": p[1], "start": p[2]} for p in own]
-            return number - 1, total, ids, [0, *np.cumsum(lengths).tolist()], places, segments
-
-        def leave(last: bool) -> Iterator[pd.DataFrame]:
-            nonlocal waiting
-            rows, left = [], []
-            for items in best_fit_decreasing([len(p[3]) // ID_BYTES for p in waiting], capacity):
-                own = [waiting[i] for i in items]
-                if last or sum(len(p[3]) for p in own) >= WELL_FILLED * capacity * ID_BYTES:
-                    rows.append(row(own))
-                else:
-                    left += own
-            if not rows and left:  # nothing is well filled: let all go, or windows would grow
-                rows, left = [row([waiting[i] for i in items]) for items in best_fit_decreasing([len(p[3]) // ID_BYTES for p in waiting], capacity)], []
-            waiting = left
-            for at in range(0, len(rows), 512):
-                yield pd.DataFrame(rows[at : at + 512], columns=COLUMNS)
-
-        for batch in batches:
-            for key_, text_ in batch.itertuples(index=False, name=None):
-                ids = encoder.encode(text_ or "") + end
-                for piece, (s, n) in enumerate(cut(len(ids) // ID_BYTES, capacity)):
-                    waiting.append((key_, piece, s, ids[s * ID_BYTES : (s + n) * ID_BYTES]))
-                if len(waiting) >= window:
-                    yield from leave(False)
-        yield from leave(True)
+            return number, total, ids, [0, *np.cumsum(lengths).tolist()], places, segments
+
+        rows = (row(n, own) for n, own in enumerate(sequences(pieces(), capacity, window), first))
+        while some := list(islice(rows, OUTPUT_ROWS)):
+            yield pd.DataFrame(some, columns=COLUMNS)
 
     # Ids travel as texts, so that null ones do not turn the others into floating-point numbers.
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
