@@ -16,7 +16,8 @@ the smaller id.
 Terms are lower-cased words (A to Z; words end at ASCII white space), known by 64-bit hashes. Queries are bags of terms:
 a term counts as often as the query has it. A query without a term that occurs finds nothing; documents that share no
 term are no hits. Null texts are empty. Null ids cannot be named in a result: such documents count in the statistics and
-are no hits, and such queries give no rows. Repeated rows are hits of their own. Extra columns are ignored. Empty tables
+are no hits, and such queries give no rows. Documents that repeat are hits of their own. Queries of one id but other texts
+are told apart by `query_text`, a hash of the text, and have their own k hits; equal ones are asked once. Extra columns are ignored. Empty tables
 give empty results.
 """
 
@@ -158,8 +159,8 @@ def search(
     shard_docs: int = SHARD_DOCS,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Per query and rank (from 1): query_id, rank, id, score. `queries` has the same two columns as `docs`; ids are whole
-    numbers."""
+    """Per query and rank (from 1): query_id, query_text, rank, id, score. `queries` has the same two columns as `docs`; ids
+    are whole numbers."""
     bags = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("place"), bag_of_terms(text).alias("bag"))
     counted = bags.select(F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")).select("p.*")
     terms = stored(counted.groupBy("terms").agg(F.count("*").alias("df"), F.sum("tfs").alias("n")), "terms")
@@ -167,15 +168,18 @@ def search(
     mean_length = (terms.agg(F.sum("n")).first()[0] or 0) / max(1, n_docs)
     n_shards = max(1, -(-n_docs // shard_docs))
 
-    asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), bag_of_terms(text).alias("bag"))
-    numbered = stored(asked.select("id", F.monotonically_increasing_id().alias("row"), "bag"), "query-bags")
-    pairs = numbered.select("id", "row", F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")).select("id", "row", "p.*")
+    named = queries.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("id"), F.xxhash64(text).alias("query_text"), F.col(text).alias("text")
+    )
+    asked = named.dropDuplicates(["id", "query_text"]).select("id", "query_text", bag_of_terms("text").alias("bag"))
+    name = ["id", "query_text"]
+    pairs = asked.select(*name, F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")).select(*name, "p.*")
     weight = F.col("tfs") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = pairs.join(terms, "terms")
     asked = stored(
-        weighed.groupBy("id", "row")
+        weighed.groupBy(*name)
         .agg(F.sort_array(F.collect_list(F.struct("terms", weight.alias("weight")))).alias("list"))
-        .select("id", F.col("list.terms").alias("terms"), F.col("list.weight").alias("weights")),
+        .select(*name, F.col("list.terms").alias("terms"), F.col("list.weight").alias("weights")),
         "queries",
     )
     n_blocks = max(1, -(-asked.count() // query_block))
@@ -191,14 +195,15 @@ def search(
     def run(_: tuple, own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         index = Shard(own, mean_length)
         rows = []
-        for q, bag, weights in zip(questions["id"], questions["terms"], questions["weights"], strict=True):
-            rows += [(q, hit, score) for score, hit in index.search(np.asarray(bag), np.asarray(weights), k)]
-        kinds = {"query_id": "int64", "id": "int64", "score": "float64"}
+        columns = (questions[c] for c in ("id", "query_text", "terms", "weights"))
+        for q, q_text, bag, weights in zip(*columns, strict=True):
+            rows += [(q, q_text, hit, score) for score, hit in index.search(np.asarray(bag), np.asarray(weights), k)]
+        kinds = {"query_id": "int64", "query_text": "int64", "id": "int64", "score": "float64"}
         return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
     found = lists.groupBy("shard", "block").cogroup(everywhere.groupBy("shard", "block")).applyInPandas(
-        run, "query_id bigint, id bigint, score double"
+        run, "query_id bigint, query_text bigint, id bigint, score double"
     )
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    ranked = Window.partitionBy("query_id", "query_text").orderBy(F.col("score").desc(), "id")
     top = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-    return top.select("query_id", "rank", F.col("id").alias(key), "score")
+    return top.select("query_id", "query_text", "rank", F.col("id").alias(key), "score")
