@@ -272,6 +272,50 @@ _SQL: dict[str, str] = {
         FROM (SELECT m.m - r.rating AS e FROM rated r JOIN ({PARITY_MEANS}) m
                      ON r.user_id % 2 = m.u AND r.book_id % 2 = m.b
               WHERE r."timestamp" > {RATED_CUT})""",
+    "gbt_stump_rounds": f"""
+        SELECT * FROM (WITH RECURSIVE parts AS (
+            SELECT "timestamp" > {RATED_CUT} AS late, user_id % 2 AS u, book_id % 2 AS b,
+                   rating + 2 * (user_id % 2) + book_id % 2 AS y
+            FROM rated WHERE "timestamp" IS NOT NULL
+        ), sums AS (
+            SELECT late,
+                   COUNT(*) FILTER (u = 0 AND b = 0) AS n00, COALESCE(SUM(y) FILTER (u = 0 AND b = 0), 0) AS s00,
+                   COUNT(*) FILTER (u = 0 AND b = 1) AS n01, COALESCE(SUM(y) FILTER (u = 0 AND b = 1), 0) AS s01,
+                   COUNT(*) FILTER (u = 1 AND b = 0) AS n10, COALESCE(SUM(y) FILTER (u = 1 AND b = 0), 0) AS s10,
+                   COUNT(*) FILTER (u = 1 AND b = 1) AS n11, COALESCE(SUM(y) FILTER (u = 1 AND b = 1), 0) AS s11,
+                   COUNT(*) AS n, SUM(y * y) AS q
+            FROM parts GROUP BY late
+        ), rounds AS (
+            SELECT CAST(0 AS BIGINT) AS round, CAST(0 AS DOUBLE) AS f00, CAST(0 AS DOUBLE) AS f01,
+                   CAST(0 AS DOUBLE) AS f10, CAST(0 AS DOUBLE) AS f11
+            UNION ALL
+            SELECT round + 1, f00 + step * CASE WHEN by_user THEN u0 ELSE b0 END,
+                   f01 + step * CASE WHEN by_user THEN u0 ELSE b1 END,
+                   f10 + step * CASE WHEN by_user THEN u1 ELSE b0 END,
+                   f11 + step * CASE WHEN by_user THEN u1 ELSE b1 END
+            FROM (
+                SELECT *, u0 * u0 * (n00 + n01) + u1 * u1 * (n10 + n11)
+                          > b0 * b0 * (n00 + n10) + b1 * b1 * (n01 + n11) AS by_user
+                FROM (
+                    -- The first tree counts fully; later ones fit twice the remainder and count by the step size.
+                    SELECT round, f00, f01, f10, f11, n00, n01, n10, n11,
+                           CASE WHEN round = 0 THEN 1 ELSE 2 * 0.2::DOUBLE END AS step,
+                           (s00 - n00 * f00 + s01 - n01 * f01) / (n00 + n01) AS u0,
+                           (s10 - n10 * f10 + s11 - n11 * f11) / (n10 + n11) AS u1,
+                           (s00 - n00 * f00 + s10 - n10 * f10) / (n00 + n10) AS b0,
+                           (s01 - n01 * f01 + s11 - n11 * f11) / (n01 + n11) AS b1
+                    FROM rounds, sums WHERE NOT late AND round < 16))
+        ), losses AS (
+            SELECT round, (q - 2 * (f00 * s00 + f01 * s01 + f10 * s10 + f11 * s11)
+                           + n00 * f00 * f00 + n01 * f01 * f01 + n10 * f10 * f10 + n11 * f11 * f11) / n AS loss
+            FROM rounds, sums WHERE late AND round > 0
+        ), leaders AS (
+            SELECT round, loss, ARG_MIN(round, loss) OVER (ORDER BY round) AS leader FROM losses
+        ), settled AS (
+            SELECT COALESCE(MIN(round) FILTER (round - leader >= 3), 16) AS last FROM leaders
+        )
+        SELECT round, ROUND(loss, 6) AS loss, round = (SELECT leader FROM leaders, settled WHERE round = last) AS kept
+        FROM leaders WHERE round <= (SELECT last FROM settled))""",
     "embedding_texts": "SELECT book_id, description FROM first_texts",
     "embedding_cache_missing": """
         SELECT book_id FROM first_texts WHERE book_id NOT IN (SELECT book_id FROM vectors)""",

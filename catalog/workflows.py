@@ -208,9 +208,10 @@ def book_vectors(x: Fixtures) -> DataFrame:
     return weights.unionByName(long(N.EMBEDDING, F.col(N.EMBEDDING), True))
 
 
-# MLlib's rounds and bins cost far more than the data do, so these runs grow few trees, on so many rows at most.
+# Patience ends the growth; the bound on the rounds is the default. The larger step makes the best round come early, and
+# trees are shallow and grow on so many rows at most, as each level of a tree costs MLlib a pass over all text features.
 SHORT_BOOSTING = boosting.BoostingSettings(
-    max_rounds=8, patience=2, first_rounds=4, step_size=0.1, max_depth=4, extra={"maxMemoryInMB": 512}
+    patience=2, first_rounds=4, step_size=0.1, max_depth=4, extra={"maxMemoryInMB": 512}
 )
 FIT_ROWS = 20_000
 
@@ -272,3 +273,35 @@ def gbt_group_loss(x: Fixtures) -> DataFrame:
         F.lit(fitted.best).cast("bigint").alias("best_round"), F.lit(round(fitted.losses[0], 6)).alias("loss"), "n",
         F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"),
     )
+
+
+# Trees of one level over two 0/1 features, without sampling: each round moves two halves of the four groups.
+STUMPS = boosting.BoostingSettings(
+    max_rounds=16, patience=3, first_rounds=4, step_size=0.2, max_depth=1, feature_share=1.0, row_share=1.0, min_rows_per_leaf=1
+)
+
+
+@workflow
+def gbt_stump_rounds(x: Fixtures) -> DataFrame:
+    """The validation loss of each round until early stopping settles, and the round that it keeps.
+
+    The features pass through the library's own assembly: a text category, numbered by its levels, and a plain number.
+    Ratings in the fixtures depend on nothing, so both features are given a share in them.
+    """
+    features = [
+        F.when(F.col(N.USER) % 2 == 0, "even").otherwise("odd").alias(N.GENDER),
+        (F.col(N.BOOK) % 2).cast("double").alias(N.YEAR),
+    ]
+    shifted = F.col(N.RATING) + 2 * (F.col(N.USER) % 2) + F.col(N.BOOK) % 2
+    rated = x.rated_log.filter(F.col(N.SOURCE) == N.TRAIN).select(*N.PAIR, shifted.alias(N.RATING), N.TIMESTAMP, *features)
+    early, late = temporal.temporal_parts(rated, temporal.split_date(rated).first().split_date)
+    levels = matrix.category_levels(early)
+    assembler = matrix.assembler(matrix.feature_columns(early.drop(*N.PAIR)))
+    parts = []
+    for part in (early, late):
+        indexed = matrix.index_categories(part, levels, find_heavy(part, [N.GENDER]))
+        parts.append(stored(assembler.transform(indexed).select(*N.PAIR, N.RATING, matrix.FEATURES), "stump-input"))
+    fitted = boosting.fit_boosting(*parts, STUMPS)
+    judged = fitted.losses[: fitted.best + STUMPS.patience]
+    lines = [(i, round(loss, 6), i == fitted.best) for i, loss in enumerate(judged, start=1)]
+    return x.spark.createDataFrame(lines, "round BIGINT, loss DOUBLE, kept BOOLEAN")
