@@ -2,7 +2,7 @@
 
 from .arrays import masked_mean, zero_vector
 from .scalars import clip_rating, in_rating_range, malformed_number, nan_to_null, number, parse_time, strict_double, time_literal
-from .text import terms, tokens
+from .text import once, terms, tokens
 
 __all__ = [
     "clip_rating",
@@ -11,6 +11,7 @@ __all__ = [
     "masked_mean",
     "nan_to_null",
     "number",
+    "once",
     "parse_time",
     "strict_double",
     "terms",
