@@ -1,10 +1,11 @@
-"""Text features are made once per text."""
+"""Text features are made once per text, inside the row."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratewright import names as N
 from ratewright.functions import terms, tokens
-from ratewright.operators import tfidf
+from ratewright.operators import lookups, tfidf
 
 
 def optimized(df):
@@ -26,3 +27,22 @@ def test_terms_find_the_tokens_of_a_text_once(spark):
 
 def test_vocabulary_finds_the_terms_of_a_text_once(spark):
     assert optimized(tfidf.fit_vocabulary(texts(spark), 5, 1, 1.0)).count("regexp_extract_all") == 1
+
+
+def test_weights_hold_one_text_at_a_time(spark):
+    """No aggregation, sort or window over the words of all texts."""
+    vocabulary = tfidf.fit_vocabulary(texts(spark), 50, 1, 1.0)
+    found = tfidf.tfidf_weights(texts(spark).filter("row_order = 0"), vocabulary)
+    plan = optimized(found)
+    assert "Aggregate" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_weights_of_missing_books_other_numbers_and_no_vocabulary(spark):
+    last = lookups.last_descriptions(texts(spark))
+    vocabulary = spark.createDataFrame([("red", 40, 1.0), ("dog", 7, 2.0)], "term STRING, idx BIGINT, idf DOUBLE")
+    found = {(r.book_id, r.idx): r.weight for r in tfidf.tfidf_weights(last, vocabulary).collect()}
+    root = 8**0.5
+    expected = {(1, 40): 1.0, (None, 40): 1 / 5**0.5, (None, 7): 2 / 5**0.5, (3, 40): 2 / root, (3, 7): 2 / root}
+    assert found == pytest.approx(expected)
+    none = tfidf.tfidf_weights(last, vocabulary.limit(0))
+    assert none.collect() == [] and none.columns == [N.BOOK, "idx", "weight"]
