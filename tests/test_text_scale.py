@@ -1,8 +1,13 @@
 """Text features are made once per text, inside the row."""
 
+import inspect
+
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from catalog import workflows
 from ratewright import names as N
 from ratewright.functions import terms, tokens
 from ratewright.operators import lookups, tfidf
@@ -46,3 +51,11 @@ def test_weights_of_missing_books_other_numbers_and_no_vocabulary(spark):
     assert found == pytest.approx(expected)
     none = tfidf.tfidf_weights(last, vocabulary.limit(0))
     assert none.collect() == [] and none.columns == [N.BOOK, "idx", "weight"]
+
+
+def test_entries_of_a_vector_too_wide_to_be_made_dense(spark):
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    rows = [(Vectors.sparse(2_000_000_000, [3, 1_999_999_999], [0.5, 2.0]),), (Vectors.dense([7.0, 0.0]),), (Vectors.dense([]),), (None,)]
+    found = spark.createDataFrame(rows, schema).select(tfidf.vector_entries(F.col("v")).alias("e")).collect()
+    assert [None if r.e is None else [tuple(e) for e in r.e] for r in found] == [[(3, 0.5), (1_999_999_999, 2.0)], [(0, 7.0), (1, 0.0)], [], None]
+    assert "vector_to_array" not in inspect.getsource(workflows)
