@@ -1,6 +1,7 @@
-"""Text features are made once per text, inside the row."""
+"""Text features are made once per text, inside the row; fitted rows are dealt into tasks of bounded size."""
 
 import inspect
+from importlib import import_module
 
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -10,7 +11,9 @@ from pyspark.sql import types as T
 from catalog import workflows
 from ratewright import names as N
 from ratewright.functions import terms, tokens
-from ratewright.operators import lookups, tfidf
+from ratewright.operators import boosting, lookups, matrix, tfidf
+
+training = import_module("ratewright.plans.train")
 
 
 def optimized(df):
@@ -59,3 +62,19 @@ def test_entries_of_a_vector_too_wide_to_be_made_dense(spark):
     found = spark.createDataFrame(rows, schema).select(tfidf.vector_entries(F.col("v")).alias("e")).collect()
     assert [None if r.e is None else [tuple(e) for e in r.e] for r in found] == [[(3, 0.5), (1_999_999_999, 2.0)], [(0, 7.0), (1, 0.0)], [], None]
     assert "vector_to_array" not in inspect.getsource(workflows)
+
+
+def test_boosting_queries_deal_their_rows_into_bounded_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(boosting, "fit_boosting", lambda train, late, settings: seen.append(train))
+    monkeypatch.setattr(workflows, "rows_per_partition", lambda n: 100)
+    rows = spark.range(1_000).select(F.col("id").alias(N.USER), F.col("id").alias(N.BOOK), F.lit(1.0).alias(N.RATING))
+    early = workflows._parities(None, rows).select(*N.PAIR, N.RATING, matrix.FEATURES).coalesce(1)
+    workflows._fitted(early, early, workflows.STUMPS)
+    assert seen[0].rdd.getNumPartitions() == 10 and seen[0].count() == 1_000 and seen[0].columns == early.columns
+
+
+def test_wide_rows_go_to_more_tasks():
+    assert training.rows_per_partition(2) > 100_000
+    assert 20_000 // training.rows_per_partition(10_085) >= 12
+    assert training.rows_per_partition(10**9) == 1
