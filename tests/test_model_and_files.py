@@ -14,10 +14,11 @@ from catalog.fixtures import Fixtures
 from ratewright import names as N
 from ratewright.operators import boosting, matrix
 from ratewright.operators.metrics import prediction_stats
+from ratewright.operators.temporal import split_date
 from ratewright.plans import predict, train
 from ratewright.schemas import NULL_TOKENS
 from ratewright.session import fresh_path, shared_folder, stored
-from ratewright.sources import append_embeddings, load_table, publish, published, read_embeddings, read_features, save_table, scan, scan_raw_folder, versioned, write_submission
+from ratewright.sources import append_embeddings, load_table, publish, published, read_embeddings, read_features, save_table, scan, scan_raw_folder, versioned, write_features, write_submission
 
 FOLDER = "/root/testdata/sf0.001"
 training = import_module("ratewright.plans.train")
@@ -58,6 +59,32 @@ def test_training_and_prediction(spark, prepared):
     assert got == pytest.approx({(r.user_id, r.book_id): r.rating_predict for r in again.collect()})
 
 
+def test_trees_are_grown_on_every_early_row(spark, prepared, monkeypatch):
+    """More early rows than the former bound of 20,000: the learner gets them all."""
+    rows, books = read_features(spark, prepared)
+    known = rows.filter(F.col(N.SOURCE) == N.TRAIN)
+    times = -(-30_000 // known.count())
+    copies = known.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    folder = fresh_path(spark, "features")
+    write_features(copies.withColumn(N.USER, F.col(N.USER) + 10_000_000 * F.col("copy")).drop("copy"), books.drop(N.TFIDF), folder)
+    read = read_features(spark, folder)[0]
+    early = read.filter(F.col(N.TIMESTAMP) <= F.lit(split_date(read).first().split_date)).count()
+    assert early > 20_000
+
+    class Fitted(Exception):
+        pass
+
+    def fit(fitted_on, validation, settings):
+        raise Fitted(fitted_on.count(), validation.count())
+
+    monkeypatch.setattr(training.boosting, "fit_boosting", fit)
+    monkeypatch.setattr(workflows, "prepared_features", lambda x: folder)
+    for query in (workflows.gbt_best_round, workflows.gbt_fit_predict):
+        with pytest.raises(Fitted) as found:
+            query(Fixtures(spark, FOLDER))
+        assert found.value.args == (early, read.count() - early)
+
+
 def test_fixed_order_depends_on_the_rows_alone(spark):
     """Rows that arrive in another order, in other partitions and with ties come out alike."""
     rows = spark.range(5_000).select(
