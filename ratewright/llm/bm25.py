@@ -1,17 +1,22 @@
 """Exact top-k search by BM25 over a sharded inverted index with block-max pruning.
 
-Documents are dealt over shards by the hash of their id and text, queries over blocks of about `QUERY_BLOCK`; a task has
-one shard and one block of queries, so its memory is bounded by both. All statistics are global: number of documents, mean
+Documents are dealt once over shards by the hash of their id and text. A task indexes its shard once and reads the queries
+against it from the shared folder, block by block, so neither documents nor queries are written again for the other, and its
+memory is bounded by a shard and a block. Shards are counted by documents and postings; rows that repeat beyond twice a
+shard make a further index of the same task. All statistics are global: number of documents, mean
 length and document frequencies over the whole table. A shard orders its documents by length, as the impact of a term
 depends on it, and keeps postings by term. Terms in more than one of `COMMON_SHARE` documents of the shard also have the
 largest impact per run of `BLOCK_DOCS` documents.
 
+About the square root of all shards are searched first. The k-th best score that a query has there is its floor in the other
+shards: no document below it can be among the best k, so it is neither scored nor returned there.
+
 The pivot test of WAND is made for all documents of a shard at once: the upper bound of a document is what the query's
 rare terms give it, taken from their postings, plus the block maxima of the query's common terms, whose long postings are
-never read. Documents are then scored in the order of their bounds, in steps that double, and the search ends when no bound
-reaches the k-th score so far, so every document left out provably stays below it. The best k of each shard
-are merged into the best k overall. Scores are rounded to nine decimals, so that sums made in another order tie; ties go to
-the smaller id.
+never read. Documents whose bound reaches the floor are scored in the order of their bounds, in steps that double, and the
+search ends when no bound reaches the k-th score so far, so every document left out provably stays below it. The best k of
+each shard are merged into the best k overall. Scores are rounded to nine decimals, so that sums made in another order tie;
+ties go to the smaller id.
 
 Terms are lower-cased words (A to Z; words end at ASCII white space), known by 64-bit hashes. Queries are bags of terms:
 a term counts as often as the query has it. A query without a term that occurs finds nothing; documents that share no
@@ -23,24 +28,30 @@ give empty results.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import fresh_path, stored
+from .workers import stored_batches
 
 K1, B = 1.2, 0.75
 TOP_K = 10
 BLOCK_DOCS = 4
 COMMON_SHARE = 8
-SHARD_DOCS = 8_192
-QUERY_BLOCK = 4_096
+SHARD_DOCS, SHARD_POSTINGS = 8_192, 3_000_000
+QUERY_BLOCK = 256
+# Queries in a file, and about the bytes that a reader of it holds at once.
+FILE_QUERIES, FILE_BYTES = 16_384, 4 * 2**20
 FIRST_STEP = 16
 DECIMALS, SLACK = 9, 1e-8
 
@@ -67,79 +78,125 @@ def bag_of_terms(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places first[i], ..., first[i] + sizes[i] - 1 of every i, one after the other."""
     before = np.cumsum(sizes) - sizes
-    return np.repeat(first - before, sizes) + np.arange(sizes.sum())
+    places = np.repeat(first - before, sizes)
+    places += np.arange(len(places))
+    return places
+
+
+def numbers_of(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each list, and the numbers of all lists one after the other."""
+    whole = lists.combine_chunks()
+    return pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64), whole.flatten().to_numpy(zero_copy_only=False)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], docs: int, postings: int) -> Iterator[pa.Table]:
+    """The rows of all batches in tables of at most so many documents and postings; a longer document is alone."""
+    held, n, total = [], 0, 0
+    for batch in batches:
+        start = 0
+        for i, size in enumerate(pc.list_value_length(batch["terms"]).to_pylist()):
+            if n and (n == docs or total + size > postings):
+                yield pa.Table.from_batches([*held, batch.slice(start, i - start)])
+                held, n, total, start = [], 0, 0, i
+            n, total = n + 1, total + size
+        held.append(batch.slice(start))
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 class Shard:
     """The index of one shard: impacts by term, and block maxima and document lists of common terms. The inverse document
     frequency is the query's part, as it is the same for all documents."""
 
-    def __init__(self, docs: pd.DataFrame, mean_length: float):
-        docs = docs.sort_values(["length", "id"], kind="stable")
-        self.ids = docs["id"].to_numpy(np.int64)
+    def __init__(self, docs: pa.Table, mean_length: float):
+        docs = docs.sort_by([("length", "ascending"), ("id", "ascending")])
+        self.ids = docs["id"].to_numpy().astype(np.int64)
         n_docs = len(docs)
-        none = np.zeros(0, np.int64)
-        sizes = np.array([len(t) for t in docs["terms"]], np.int64)
-        owner = np.repeat(np.arange(n_docs, dtype=np.int32), sizes)
-        self.terms, number = np.unique(np.concatenate([none, *docs["terms"]]).astype(np.int64), return_inverse=True)
-        tf = np.concatenate([none, *docs["tfs"]]).astype(float)
-        norm = K1 * (1 - B + B * docs["length"].to_numpy(float) / max(mean_length, 1e-9))
+        sizes, terms = numbers_of(docs["terms"])
+        tf = numbers_of(docs["tfs"])[1].astype(float)
+        owner = np.repeat(np.arange(n_docs), sizes)
+        norm = K1 * (1 - B + B * docs["length"].to_numpy().astype(float) / max(mean_length, 1e-9))
         impact = tf * (K1 + 1) / (tf + norm[owner])
         # By term; the sort is stable, so documents rise within each.
-        order = np.argsort(number, kind="stable")
+        order = np.argsort(terms, kind="stable")
+        by_term = terms[order]
+        new = np.r_[True, by_term[1:] != by_term[:-1]][: len(by_term)]
+        self.terms, self.first = by_term[new], np.flatnonzero(new)
+        self.df = np.diff(np.r_[self.first, len(by_term)])
         self.owner, self.impact = owner[order], impact[order]
-        self.df = np.bincount(number, minlength=len(self.terms))
-        self.first = np.cumsum(self.df) - self.df
         common = np.flatnonzero(self.df * COMMON_SHARE > n_docs)
         self.row = np.full(len(self.terms), -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.maxima = np.zeros((len(common), -(-n_docs // BLOCK_DOCS)))
         of_common = spans(self.first[common], self.df[common])
-        cell = np.repeat(np.arange(len(common)), self.df[common]), self.owner[of_common] // BLOCK_DOCS
-        np.maximum.at(self.maxima, cell, self.impact[of_common])
-        # The common terms of each document.
-        row = self.row[number]
-        kept = row >= 0
-        self.common_row, self.common_impact = row[kept], impact[kept]
-        self.common_size = np.bincount(owner[kept], minlength=n_docs)
+        row = np.repeat(np.arange(len(common)), self.df[common])
+        np.maximum.at(self.maxima, (row, self.owner[of_common] // BLOCK_DOCS), self.impact[of_common])
+        # The common terms of each document, in the order of its text.
+        place = order[of_common]
+        by_doc = np.argsort(place)
+        self.common_row, self.common_impact = row[by_doc], self.impact[of_common][by_doc]
+        self.common_size = np.bincount(self.owner[of_common], minlength=n_docs)
         self.common_start = np.cumsum(self.common_size) - self.common_size
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The best k as (score, id)."""
+    def search(self, queries: pa.Table, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The place of each query that has hits, with the ids and scores of its best k that reach its floor."""
         if not len(self.terms):
-            return []
+            return
+        sizes, terms = numbers_of(queries["terms"])
         at = np.searchsorted(self.terms, terms)
         found = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
-        at, weights = at[found], weights[found]
+        asker, at = np.repeat(np.arange(len(sizes)), sizes)[found], at[found]
+        weights = numbers_of(queries["weights"])[1][found]
         row = self.row[at]
         common = row >= 0
-        of_common = np.zeros(len(self.maxima))
-        of_common[row[common]] = weights[common]
-        rare = self._rare_part(at[~common], weights[~common])
-        bound = rare + np.repeat(of_common @ self.maxima, BLOCK_DOCS)[: len(rare)]
+        of_common = np.zeros((len(sizes), len(self.maxima)))
+        of_common[asker[common], row[common]] = weights[common]
+        maxima = of_common @ self.maxima
+        at, weights = at[~common], weights[~common]
+        edges = np.searchsorted(asker[~common], np.arange(len(sizes) + 1))
+        for q, floor in enumerate(queries["floor"].to_pylist()):
+            own = slice(edges[q], edges[q + 1])
+            rare = self._rare_part(at[own], weights[own])
+            ids, scores = self._best(rare, maxima[q], of_common[q], k, floor)
+            if len(ids):
+                yield q, ids, scores
+
+    def _best(
+        self, rare: np.ndarray, maxima: np.ndarray, of_common: np.ndarray, k: int, floor: float
+    ) -> tuple[np.ndarray, np.ndarray]:
+        bound = rare + np.repeat(maxima, BLOCK_DOCS)[: len(rare)]
+
+        def reach(docs: np.ndarray, least: float) -> np.ndarray:
+            # Bounds are sums in another order than scores are; the slack keeps rounding from pruning a tie.
+            return docs[bound[docs] * (1 + SLACK) + SLACK >= least]
+
         best, scores = np.zeros(0, np.int64), np.zeros(0)
+        rest = reach(np.flatnonzero(bound > 0), floor)
         # The first step takes the largest bounds unsorted; only what its k-th score cannot rule out is ever sorted.
-        order = np.argpartition(-bound, min(FIRST_STEP, len(bound)) - 1)
-        group, rest, step = order[:FIRST_STEP], order[FIRST_STEP:], FIRST_STEP
+        step = FIRST_STEP
+        order = np.argpartition(-bound[rest], step - 1) if len(rest) > step else np.arange(len(rest))
+        group, rest = rest[order[:step]], rest[order[step:]]
         while len(group):
             found = rare[group] + self._common_part(group, of_common)
-            scores = np.r_[scores, np.round(found[found > 0], DECIMALS)]
-            best = np.r_[best, group[found > 0]]
+            rounded = np.round(found, DECIMALS)
+            hit = (found > 0) & (rounded >= floor)
+            scores, best = np.concatenate([scores, rounded[hit]]), np.concatenate([best, group[hit]])
             top = np.lexsort((self.ids[best], -scores))[:k]
             scores, best = scores[top], best[top]
-            # Bounds are sums in another order than scores are; the slack keeps rounding from pruning a tie.
-            rest = rest[bound[rest] * (1 + SLACK) + SLACK >= scores[-1]] if len(best) == k else rest[bound[rest] > 0]
+            if len(best) == k:
+                rest = reach(rest, scores[-1])
             if step == FIRST_STEP:
                 rest = rest[np.argsort(-bound[rest], kind="stable")]
             step *= 2
             group, rest = rest[:step], rest[step:]
-        return list(zip(scores.tolist(), self.ids[best].tolist(), strict=True))
+        return self.ids[best], scores
 
     def _rare_part(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What these terms give every document."""
         df = self.df[at]
         places = spans(self.first[at], df)
-        gains = self.impact[places] * np.repeat(weights, df)
+        gains = np.repeat(weights, df)
+        gains *= self.impact[places]
         return np.bincount(self.owner[places], gains, minlength=len(self.ids))
 
     def _common_part(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -165,8 +222,10 @@ def search(
     counted = bags.select(F.explode(F.arrays_zip("bag.terms", "bag.tfs")).alias("p")).select("p.*")
     terms = stored(counted.groupBy("terms").agg(F.count("*").alias("df"), F.sum("tfs").alias("n")), "terms")
     n_docs = docs.count()
-    mean_length = (terms.agg(F.sum("n")).first()[0] or 0) / max(1, n_docs)
-    n_shards = max(1, -(-n_docs // shard_docs))
+    totals = terms.agg(F.sum("n").alias("words"), F.sum("df").alias("postings")).first()
+    mean_length = (totals.words or 0) / max(1, n_docs)
+    n_shards = max(1, -(-n_docs // shard_docs), -(-(totals.postings or 0) // SHARD_POSTINGS))
+    n_first = math.isqrt(n_shards - 1) + 1
 
     named = queries.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("id"), F.xxhash64(text).alias("query_text"), F.col(text).alias("text")
@@ -182,28 +241,37 @@ def search(
         .select(*name, F.col("list.terms").alias("terms"), F.col("list.weight").alias("weights")),
         "queries",
     )
-    n_blocks = max(1, -(-asked.count() // query_block))
+    n_files = max(1, -(-asked.count() // FILE_QUERIES))
 
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def hits(first: bool, asked: DataFrame) -> DataFrame:
+        """What the queries, with their floors, find in the first shards or in the others."""
+        path = fresh_path(asked.sparkSession, "queries")
+        asked.repartition(n_files).write.option("parquet.block.size", FILE_BYTES).parquet(path)
+        files = asked.sparkSession.read.parquet(path).inputFiles()
 
-    shard = F.pmod(F.col("place"), F.lit(n_shards)).cast("int").alias("shard")
-    lists = bags.filter(F.col("id").isNotNull()).select(shard, numbers(n_blocks).alias("block"), "id", "bag.*")
-    block = F.pmod(F.xxhash64("id", "terms"), F.lit(n_blocks)).cast("int").alias("block")
-    everywhere = asked.select("*", block, numbers(n_shards).alias("shard"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches, 2 * shard_docs, 2 * SHARD_POSTINGS):
+                index = Shard(piece, mean_length)
+                for block in stored_batches(files, query_block):
+                    found = list(index.search(block, k))
+                    if found:
+                        places, ids, scores = zip(*found, strict=True)
+                        asker = np.repeat(places, list(map(len, ids)))
+                        whose = [block[c].to_numpy()[asker].astype(np.int64) for c in ("id", "query_text")]
+                        columns = [*whose, np.concatenate(ids), np.concatenate(scores)]
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query_id", "query_text", "id", "score"])
 
-    def run(_: tuple, own: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        index = Shard(own, mean_length)
-        rows = []
-        columns = (questions[c] for c in ("id", "query_text", "terms", "weights"))
-        for q, q_text, bag, weights in zip(*columns, strict=True):
-            rows += [(q, q_text, hit, score) for score, hit in index.search(np.asarray(bag), np.asarray(weights), k)]
-        kinds = {"query_id": "int64", "query_text": "int64", "id": "int64", "score": "float64"}
-        return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
-
-    found = lists.groupBy("shard", "block").cogroup(everywhere.groupBy("shard", "block")).applyInPandas(
-        run, "query_id bigint, query_text bigint, id bigint, score double"
-    )
+        of_first = F.pmod("place", F.lit(n_shards)) < n_first
+        own = bags.filter(F.col("id").isNotNull() & (of_first if first else ~of_first))
+        dealt = own.repartition(n_first if first else n_shards - n_first, "place")
+        return dealt.select("id", "bag.*").mapInArrow(run, "query_id bigint, query_text bigint, id bigint, score double")
+
+    found = hits(True, asked.withColumn("floor", F.lit(0.0)))
+    if n_first < n_shards:
+        found = stored(found, "first-hits")
+        kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))
+        floors = found.groupBy(F.col("query_id").alias("id"), "query_text").agg(F.coalesce(kth, F.lit(0.0)).alias("floor"))
+        found = found.unionByName(hits(False, asked.join(floors, name, "left").fillna(0.0, ["floor"])))
     ranked = Window.partitionBy("query_id", "query_text").orderBy(F.col("score").desc(), "id")
     top = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return top.select("query_id", "query_text", "rank", F.col("id").alias(key), "score")

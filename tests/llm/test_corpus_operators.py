@@ -4,10 +4,12 @@ import random
 import zlib
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -461,6 +463,36 @@ def test_search_equals_brute_force(spark, table, shard_docs, query_block):
         assert [s for _, s in found[q]] == pytest.approx([-s for s, _ in expected], abs=1e-8)
 
 
+def test_search_writes_documents_once_for_any_number_of_query_blocks(spark):
+    """Each document was shuffled once per block of queries before, and each query once per shard."""
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {p: p.stat().st_size for d in folders for p in Path(d).rglob("shuffle_*.data")}
+
+    words = np.random.default_rng(1).integers(0, 500, (400, 60))
+    docs = spark.createDataFrame([(i, " ".join(f"w{w}" for w in own)) for i, own in enumerate(words)], "doc_id bigint, text string")
+    found, written = [], []
+    for query_block in (400, 4):
+        before = shuffled()
+        rows = bm25.search(docs, docs, shard_docs=50, query_block=query_block).collect()
+        written.append(sum(n for p, n in shuffled().items() if p not in before))
+        found.append(sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == 400 * 10
+    assert written[1] < 1.5 * written[0]
+
+
+def test_search_indexes_repeated_rows_in_bounded_pieces(spark):
+    rows = [(1, "red blue")] * 100 + [(i, f"red {'blue ' * i}") for i in range(2, 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = docs.filter("doc_id in (1, 9)")
+    many, one = (sorted(bm25.search(docs, asked, shard_docs=n).collect()) for n in (10, 8_192))
+    assert many == one and len(many) == 20
+    sizes = [3, 4, 1, 9, 2, 2]
+    bag = pa.record_batch({"id": range(6), "terms": [list(range(n)) for n in sizes]})
+    assert [t["id"].to_pylist() for t in bm25.pieces(iter([bag, bag]), 3, 7)] == [[0, 1], [2], [3], [4, 5, 0], [1, 2], [3], [4, 5]]
+
+
 def test_queries_of_one_id_have_their_own_hits(spark):
     docs = spark.createDataFrame([(i, f"{'red' if i < 5 else 'blue'} {'x ' * i}") for i in range(10)], "doc_id bigint, text string")
     asked = spark.createDataFrame([(1, "red"), (1, "blue"), (1, "blue"), (1, None)], docs.schema)
