@@ -6,14 +6,16 @@ memory is bounded by a shard and a block. Shards are counted by documents and po
 shard make a further index of the same task. All statistics are global: number of documents, mean
 length and document frequencies over the whole table. A shard orders its documents by length, as the impact of a term
 depends on it, and keeps postings by term. Terms in more than one of `COMMON_SHARE` documents of the shard also have the
-largest impact per run of `BLOCK_DOCS` documents.
+largest impact per run of `BLOCK_DOCS` documents; those in more than one of `MIDDLE_SHARE` are middle terms, whose impacts
+stand in a matrix (both together are the `MATRIX_TERMS` most frequent at most, the others count as rare).
 
 About the square root of all shards are searched first. The k-th best score that a query has there is its floor in the other
 shards: no document below it can be among the best k, so it is neither scored nor returned there.
 
 The pivot test of WAND is made for all documents of a shard at once: the upper bound of a document is what the query's
-rare terms give it, taken from their postings, plus the block maxima of the query's common terms, whose long postings are
-never read. Documents whose bound reaches the floor are scored in the order of their bounds, in steps that double, and the
+rare terms give it, taken from their postings, plus the impacts of its middle terms in single precision, with a margin for
+the rounding, plus the block maxima of the query's common terms, whose long postings are never read. Documents that the
+maxima leave are bounded again by their own impacts of common terms. Documents whose bound reaches the floor are scored in the order of their bounds, in steps that double, and the
 search ends when no bound reaches the k-th score so far, so every document left out provably stays below it. The best k of
 each shard are merged into the best k overall. Scores are rounded to nine decimals, so that sums made in another order tie;
 ties go to the smaller id.
@@ -47,7 +49,7 @@ from .workers import stored_batches
 K1, B = 1.2, 0.75
 TOP_K = 10
 BLOCK_DOCS = 4
-COMMON_SHARE = 8
+COMMON_SHARE, MIDDLE_SHARE, MATRIX_TERMS = 8, 24, 2_048
 SHARD_DOCS, SHARD_POSTINGS = 8_192, 3_000_000
 QUERY_BLOCK = 256
 # Queries in a file, and about the bytes that a reader of it holds at once.
@@ -124,19 +126,27 @@ class Shard:
         self.terms, self.first = by_term[new], np.flatnonzero(new)
         self.df = np.diff(np.r_[self.first, len(by_term)])
         self.owner, self.impact = owner[order], impact[order]
-        common = np.flatnonzero(self.df * COMMON_SHARE > n_docs)
+        # The common terms, then the middle ones.
+        frequent = np.argsort(-self.df, kind="stable")[:MATRIX_TERMS]
+        frequent = frequent[self.df[frequent] * MIDDLE_SHARE > n_docs]
+        self.n_common = int((self.df[frequent] * COMMON_SHARE > n_docs).sum())
         self.row = np.full(len(self.terms), -1, np.int32)
-        self.row[common] = np.arange(len(common))
-        self.maxima = np.zeros((len(common), -(-n_docs // BLOCK_DOCS)))
-        of_common = spans(self.first[common], self.df[common])
-        row = np.repeat(np.arange(len(common)), self.df[common])
-        np.maximum.at(self.maxima, (row, self.owner[of_common] // BLOCK_DOCS), self.impact[of_common])
-        # The common terms of each document, in the order of its text.
-        place = order[of_common]
-        by_doc = np.argsort(place)
-        self.common_row, self.common_impact = row[by_doc], self.impact[of_common][by_doc]
-        self.common_size = np.bincount(self.owner[of_common], minlength=n_docs)
-        self.common_start = np.cumsum(self.common_size) - self.common_size
+        self.row[frequent] = np.arange(len(frequent))
+        places = spans(self.first[frequent], self.df[frequent])
+        row, doc, own = np.repeat(np.arange(len(frequent)), self.df[frequent]), self.owner[places], self.impact[places]
+        self.impacts = np.zeros((len(frequent), n_docs), np.float32)
+        self.impacts[row, doc] = own
+        ends = np.arange(0, n_docs, BLOCK_DOCS)
+        self.maxima = np.maximum.reduceat(self.impacts[: self.n_common], ends, axis=1)
+        self.of_doc = np.ascontiguousarray(self.impacts[: self.n_common].T)
+        self.impacts = self.impacts[self.n_common :]
+        # Single precision errs by less than this share in a sum of so many terms, none of them negative.
+        self.above = np.float32(1 + (len(frequent) + 8) * 2.0**-23)
+        # The frequent terms of each document, in the order of its text.
+        by_doc = np.argsort(order[places])
+        self.frequent_row, self.frequent_impact = row[by_doc], own[by_doc]
+        self.frequent_size = np.bincount(doc, minlength=n_docs)
+        self.frequent_start = np.cumsum(self.frequent_size) - self.frequent_size
 
     def search(self, queries: pa.Table, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """The place of each query that has hits, with the ids and scores of its best k that reach its floor."""
@@ -148,36 +158,46 @@ class Shard:
         asker, at = np.repeat(np.arange(len(sizes)), sizes)[found], at[found]
         weights = numbers_of(queries["weights"])[1][found]
         row = self.row[at]
-        common = row >= 0
-        of_common = np.zeros((len(sizes), len(self.maxima)))
-        of_common[asker[common], row[common]] = weights[common]
-        maxima = of_common @ self.maxima
-        at, weights = at[~common], weights[~common]
-        edges = np.searchsorted(asker[~common], np.arange(len(sizes) + 1))
+        rare = row < 0
+        frequent = np.zeros((len(sizes), self.n_common + len(self.impacts)))
+        frequent[asker[~rare], row[~rare]] = weights[~rare]
+        single = frequent.astype(np.float32)
+        maxima = single[:, : self.n_common] @ self.maxima * self.above
+        middle = single[:, self.n_common :] @ self.impacts * self.above
+        at, weights = at[rare], weights[rare]
+        edges = np.searchsorted(asker[rare], np.arange(len(sizes) + 1))
         for q, floor in enumerate(queries["floor"].to_pylist()):
             own = slice(edges[q], edges[q + 1])
-            rare = self._rare_part(at[own], weights[own])
-            ids, scores = self._best(rare, maxima[q], of_common[q], k, floor)
+            ids, scores = self._best(self._rare_part(at[own], weights[own]), middle[q], maxima[q], frequent[q], k, floor)
             if len(ids):
                 yield q, ids, scores
 
     def _best(
-        self, rare: np.ndarray, maxima: np.ndarray, of_common: np.ndarray, k: int, floor: float
+        self, rare: np.ndarray, middle: np.ndarray, maxima: np.ndarray, frequent: np.ndarray, k: int, floor: float
     ) -> tuple[np.ndarray, np.ndarray]:
-        bound = rare + np.repeat(maxima, BLOCK_DOCS)[: len(rare)]
+        part = rare + middle
+        bound = part + np.repeat(maxima, BLOCK_DOCS)[: len(rare)]
 
         def reach(docs: np.ndarray, least: float) -> np.ndarray:
             # Bounds are sums in another order than scores are; the slack keeps rounding from pruning a tie.
             return docs[bound[docs] * (1 + SLACK) + SLACK >= least]
 
+        def tightened(docs: np.ndarray, least: float) -> np.ndarray:
+            # What the block maxima leave is bounded by the documents' own impacts.
+            own = np.einsum("dt,t->d", self.of_doc[docs], frequent[: self.n_common].astype(np.float32))
+            bound[docs] = part[docs] + own * self.above
+            return reach(docs, least)
+
         best, scores = np.zeros(0, np.int64), np.zeros(0)
         rest = reach(np.flatnonzero(bound > 0), floor)
+        if floor > 0:
+            rest = tightened(rest, floor)
         # The first step takes the largest bounds unsorted; only what its k-th score cannot rule out is ever sorted.
         step = FIRST_STEP
         order = np.argpartition(-bound[rest], step - 1) if len(rest) > step else np.arange(len(rest))
         group, rest = rest[order[:step]], rest[order[step:]]
         while len(group):
-            found = rare[group] + self._common_part(group, of_common)
+            found = rare[group] + self._frequent_part(group, frequent)
             rounded = np.round(found, DECIMALS)
             hit = (found > 0) & (rounded >= floor)
             scores, best = np.concatenate([scores, rounded[hit]]), np.concatenate([best, group[hit]])
@@ -186,6 +206,7 @@ class Shard:
             if len(best) == k:
                 rest = reach(rest, scores[-1])
             if step == FIRST_STEP:
+                rest = rest if floor > 0 else tightened(rest, scores[-1] if len(best) == k else 0.0)
                 rest = rest[np.argsort(-bound[rest], kind="stable")]
             step *= 2
             group, rest = rest[:step], rest[step:]
@@ -199,11 +220,11 @@ class Shard:
         gains *= self.impact[places]
         return np.bincount(self.owner[places], gains, minlength=len(self.ids))
 
-    def _common_part(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What common terms give some documents; `weights` has one number per common term."""
-        sizes = self.common_size[docs]
-        places = spans(self.common_start[docs], sizes)
-        gains = weights[self.common_row[places]] * self.common_impact[places]
+    def _frequent_part(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What common and middle terms give some documents; `weights` has one number per such term."""
+        sizes = self.frequent_size[docs]
+        places = spans(self.frequent_start[docs], sizes)
+        gains = weights[self.frequent_row[places]] * self.frequent_impact[places]
         return np.bincount(np.repeat(np.arange(len(docs)), sizes), gains, minlength=len(docs))
 
 
