@@ -15,10 +15,10 @@ shards: no document below it can be among the best k, so it is neither scored no
 The pivot test of WAND is made for all documents of a shard at once: the upper bound of a document is what the query's
 rare terms give it, taken from their postings, plus the impacts of its middle terms in single precision, with a margin for
 the rounding, plus the block maxima of the query's common terms, whose long postings are never read. Documents that the
-maxima leave are bounded again by their own impacts of common terms. Documents whose bound reaches the floor are scored in the order of their bounds, in steps that double, and the
-search ends when no bound reaches the k-th score so far, so every document left out provably stays below it. The best k of
-each shard are merged into the best k overall. Scores are rounded to nine decimals, so that sums made in another order tie;
-ties go to the smaller id.
+maxima leave are bounded again by their own impacts of common terms. Documents whose bound reaches the floor are scored in
+the order of their bounds, in steps that double, and the search ends when no bound reaches the k-th score so far, so every
+document left out provably stays below it. The best k of each shard are merged into the best k overall. Scores are rounded
+to nine decimals, so that sums made in another order tie; ties go to the smaller id.
 
 Terms are lower-cased words (A to Z; words end at ASCII white space), known by 64-bit hashes. Queries are bags of terms:
 a term counts as often as the query has it. A query without a term that occurs finds nothing; documents that share no
@@ -88,7 +88,8 @@ def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def numbers_of(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The size of each list, and the numbers of all lists one after the other."""
     whole = lists.combine_chunks()
-    return pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64), whole.flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, whole.flatten().to_numpy(zero_copy_only=False)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], docs: int, postings: int) -> Iterator[pa.Table]:
